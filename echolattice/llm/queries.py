@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echolattice.llm import personal_data, quality_rules, sharding
+from echolattice.llm import packing, personal_data, quality_rules, sharding, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_feistel_shards": sharding.op3_feistel_shards,
     "op5_personal_data": personal_data.op5_personal_data,
+    "op6_cutting_stock": packing.op6_cutting_stock,
+    "op7_simple8b_files": token_files.op7_simple8b_files,
     "op9_line_frequency": quality_rules.op9_line_frequency,
 }
 
