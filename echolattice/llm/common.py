@@ -179,20 +179,26 @@ _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_STEP), -1, 1 << 64))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, base: np.uint64) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+    """The first n powers of an odd base modulo 2**64; the longest run asked for is kept."""
+    held = _POWERS.get(int(base))
+    if held is None or len(held) < n:
+        held = np.full(max(n, 1 << 20), base, np.uint64)
+        held[0] = 1
+        _POWERS[int(base)] = held = np.multiply.accumulate(held)
+    return held[:n]
 
 
 class Rolling:
-    """Hashes of any substring of a byte buffer, from prefix sums of a polynomial modulo 2**64 over random byte words."""
+    """Hashes of any substring, from prefix sums of a polynomial modulo 2**64 over a random 64-bit word for each character."""
 
-    def __init__(self, data: np.ndarray, table: np.ndarray):
-        n = len(data)
+    def __init__(self, words: np.ndarray):
+        n = len(words)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(table[data] * powers(n, _STEP), out=self.sums[1:])
+        np.cumsum(words * powers(n, _STEP), out=self.sums[1:])
         self.back = powers(n + 1, _INV)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -200,7 +206,7 @@ class Rolling:
         return mix64(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def text_slices(col: pa.Array, most: int = 4 << 20):
+def text_slices(col: pa.Array, most: int = 1 << 20):
     """Runs of a string column as (first row, byte offsets, bytes); a run has about so many bytes, or one text. Nulls are empty."""
     col = col.cast(pa.large_string()) if not pa.types.is_large_string(col.type) else col
     if col.null_count:
@@ -217,6 +223,108 @@ def text_slices(col: pa.Array, most: int = 4 << 20):
         i = j
 
 
+# ---- candidates by shared keys --------------------------------------------------------------------------------
+
+
+def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by key: the keys, each key's least id on all its rows, and the ids."""
+    order = np.lexsort((ids, keys))
+    k, v = keys[order], ids[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    head = np.repeat(v[first], np.diff(np.concatenate([first, [len(k)]])))
+    return k, head, v
+
+
+def _combined(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """One row for each key, with its least id; other ids of a key are joined to that one at once, as rows with a head."""
+    k, head, v = _stars(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+    one = np.concatenate([[True], k[1:] != k[:-1]])
+    other = np.unique(np.stack([v[v != head], head[v != head]], 1), axis=0)
+    key = np.concatenate([k[one], other[:, 0]])
+    heads = pa.concat_arrays([pa.nulls(int(one.sum()), pa.int64()), pa.array(other[:, 1])])
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate([v[one], other[:, 0]])), heads], names=["key", "id", "head"])
+
+
+def _heads(batches):
+    """From rows sorted by key: an edge from each id to its key's least id."""
+    last_key, last_head = None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        given = b.column(2)
+        is_edge = given.is_valid().to_numpy(zero_copy_only=False)
+        keys, ids = b.column(0).to_numpy()[~is_edge], b.column(1).to_numpy()[~is_edge]
+        u, v = [b.column(1).to_numpy()[is_edge]], [given.drop_null().to_numpy()]
+        if len(keys):
+            k, head, x = _stars(keys, ids)
+            if k[0] == last_key:
+                head[k == last_key] = last_head  # the rows are sorted, so what came before is less
+            far = x != head
+            u.append(x[far])
+            v.append(head[far])
+            last_key, last_head = k[-1], head[-1]
+        both = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+
+def keyed(pairs, most: int = 500_000):
+    """Rows (key, id, head) for candidates() from (keys, ids) arrays; what a task has gathered is combined before it is dealt out."""
+    held, n = [], 0
+    for keys, ids in pairs:
+        held.append((keys, ids))
+        n += len(keys)
+        if n >= most:
+            yield _combined(held)
+            held, n = [], 0
+    if n:
+        yield _combined(held)
+
+
+def candidates(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component): parts that hold, for any two ids with a key in common, both. rows(key, id, head) come from keyed().
+
+    A key that any number of ids has sends one row from each combined run, so no task gathers its ids; edges are as many as rows at most.
+    """
+    dealt = rows.repartition("key").sortWithinPartitions("key", "id")
+    edges = dealt.mapInArrow(_heads, "a long, b long")
+    return connected_components(scratch.write(edges), scratch)
+
+
+# ---- blocks of bounded size -----------------------------------------------------------------------------------
+
+
+def runs(batches, column: int = 0):
+    """The rows of sorted batches as one table for each run of equal values of a column; holds one run at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column(column)
+        codes = keys.dictionary_encode().indices.to_numpy() if not pa.types.is_integer(keys.type) else keys.to_numpy()
+        cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), b.num_rows]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            key = keys[i].as_py()
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(i, j - i))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class Forest:
+    """Union-find over a block's rows whose labels are an array, so that all rows of other trees are one comparison away."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def join(self, i: int, j: int) -> None:
+        a, b = self.label[i], self.label[j]
+        self.label[self.label == max(a, b)] = min(a, b)
+
+
 # ---- tokenizers -----------------------------------------------------------------------------------------------
 
 

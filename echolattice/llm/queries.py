@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echolattice.llm import packing, personal_data, quality_rules, sharding, token_files
+from echolattice.llm import jaccard_join, packing, personal_data, quality_rules, sharding, token_files, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cover_tree": vectors.op1_cover_tree,
     "op3_feistel_shards": sharding.op3_feistel_shards,
+    "op4_jaccard_rtree": jaccard_join.op4_jaccard_rtree,
     "op5_personal_data": personal_data.op5_personal_data,
     "op6_cutting_stock": packing.op6_cutting_stock,
     "op7_simple8b_files": token_files.op7_simple8b_files,
@@ -17,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_cover_tree": vectors.ORACLE,
     "op3_feistel_shards": sharding.oracle(),
+    "op4_jaccard_rtree": jaccard_join.ORACLE,
     "op9_line_frequency": quality_rules.ORACLE,
 }
