@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echolattice.llm import jaccard_join, line_dedup, packing, personal_data, quality_rules, sharding, token_files, vectors
+from echolattice.llm import jaccard_join, line_dedup, packing, personal_data, quality_classifier, quality_rules, sharding, token_files, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cover_tree": vectors.op1_cover_tree,
+    "op2_co_training": quality_classifier.op2_co_training,
     "op3_feistel_shards": sharding.op3_feistel_shards,
     "op4_jaccard_rtree": jaccard_join.op4_jaccard_rtree,
     "op5_personal_data": personal_data.op5_personal_data,
