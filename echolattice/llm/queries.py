@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echolattice.llm import jaccard_join, line_dedup, packing, personal_data, quality_classifier, quality_rules, sharding, token_files, vectors
+from echolattice.llm import jaccard_join, line_dedup, mixing, packing, personal_data, quality_classifier, quality_rules, sharding, token_files, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cover_tree": vectors.op1_cover_tree,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_personal_data": personal_data.op5_personal_data,
     "op6_cutting_stock": packing.op6_cutting_stock,
     "op7_simple8b_files": token_files.op7_simple8b_files,
+    "op8_hierarchical_budget": mixing.op8_hierarchical_budget,
     "op9_line_frequency": quality_rules.op9_line_frequency,
     "op10_segment_edit_join": line_dedup.op10_segment_edit_join,
 }
