@@ -1,11 +1,393 @@
-"""All queries of the library and their SQL for DuckDB."""
+"""All queries of the library and their SQL for DuckDB.
+
+Distances are rounded to 6 decimals before they are ranked, so that sums in another order don't turn ranks; results are too.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from echolattice.functions import sequences as seq
+from echolattice.operators import collections as col
+from echolattice.operators import evaluation, ftm2d, learned, qmax, similarity
+from echolattice.plans import fixtures, registry
+from echolattice.plans import sql as S
+from echolattice.sources import archive, results
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+# ---- ranking and scores ---------------------------------------------------------------------------------------
+
+
+def _vector_scores(spark, sf_dir, k=10):
+    return evaluation.score_vectors(fixtures.items(spark, sf_dir), similarity.cosine_pairs, k)
+
+
+@query("cosine_pairs_topk", S.chain(S.E_PAIRS, S.RANKED) + "SELECT query_idx, item_idx, rank, distance FROM ranked WHERE rank <= 10")
+def cosine_pairs_topk(spark, sf_dir):
+    near = similarity.nearest(similarity.cosine_pairs(fixtures.items(spark, sf_dir), top=10), 10)
+    return near.select("query_idx", "item_idx", F.col("rank").cast("long").alias("rank"), "distance")
+
+
+@query("retrieval_metrics", S.chain(S.E_PAIRS, S.RANKED, S.PER_QUERY) + S.SUMMARY)
+def retrieval_metrics(spark, sf_dir):
+    return evaluation.summarize(_vector_scores(spark, sf_dir))
+
+
+@query("retrieval_metrics_pairs", S.chain(S.E_PAIRS, S.RANKED, S.PER_QUERY) + S.SUMMARY)
+def retrieval_metrics_pairs(spark, sf_dir):
+    """The same by the pair table and windows, as for collections too large to send to executors."""
+    return evaluation.evaluate(similarity.cosine_pairs(fixtures.items(spark, sf_dir)))
+
+
+@query("retrieval_per_query", S.chain(S.E_PAIRS, S.RANKED, S.PER_QUERY) + "SELECT query_idx, round(ap, 6) AS ap, r1, round(p_at_k, 6) AS p_at_k, n_relevant FROM per_query")
+def retrieval_per_query(spark, sf_dir):
+    return _vector_scores(spark, sf_dir).select("query_idx", r6("ap").alias("ap"), "r1", r6("p_at_k").alias("p_at_k"), "n_relevant")
+
+
+@query("chunked_metrics", S.chain(S.E_PAIRS, S.RANKED, S.PER_QUERY) + S.SUMMARY.replace("FROM per_query", ", count(DISTINCT query_idx // 64) AS n_chunks FROM per_query"))
+def chunked_metrics(spark, sf_dir):
+    return evaluation.evaluate_chunked(similarity.cosine_pairs(fixtures.items(spark, sf_dir)), 64)
+
+
+@query("rank_curve", S.chain(S.E_PAIRS, S.RANKED, S.PER_QUERY) + "SELECT k AS rank, round((SELECT count(*) FROM per_query WHERE r1 <= k) / (SELECT count(*) FROM per_query), 6) AS share FROM range(1, (SELECT count(*) FROM embeddings)) t(k)")
+def rank_curve(spark, sf_dir):
+    return evaluation.rank_curve(_vector_scores(spark, sf_dir), fixtures.items(spark, sf_dir).count())
+
+
+def _inline(spark, rows):
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(matrix, query_idx, item_idx, query_label, item_label, distance)")
+
+
+@query("metrics_known_answer", S.chain(S.KNOWN, S.RANKED_BY_MATRIX, S.PER_QUERY_BY_MATRIX) + S.SUMMARY.replace("SELECT ", "SELECT matrix, ", 1) + " GROUP BY matrix")
+def metrics_known_answer(spark, sf_dir):
+    """Matrices whose scores are known by hand, told apart by a name."""
+    pairs = _inline(spark, S.KNOWN_ROWS)
+    one = pairs.withColumn("query_idx", F.concat_ws(":", "matrix", "query_idx")).withColumn("item_idx", F.concat_ws(":", "matrix", "item_idx"))
+    scores = evaluation.score_queries(one).withColumn("matrix", F.split("query_idx", ":")[0])
+    return evaluation.summarize(scores, "matrix")
+
+
+@query("metrics_nonfinite", S.chain(S.NONFINITE, S.RANKED) + "SELECT query_idx, item_idx, rank FROM ranked")
+def metrics_nonfinite(spark, sf_dir):
+    pairs = spark.sql(f"SELECT * FROM VALUES {S.NONFINITE_ROWS} AS t(query_idx, item_idx, query_label, item_label, distance)").withColumn("distance", F.col("distance").cast("double"))
+    return evaluation.rank_pairs(pairs).select("query_idx", "item_idx", F.col("rank").cast("long").alias("rank"))
+
+
+# ---- collections ----------------------------------------------------------------------------------------------
+
+
+@query("clique_stats", "SELECT s_nationkey AS clique_id, count(*) AS n FROM supplier WHERE s_nationkey IS NOT NULL GROUP BY 1")
+def clique_stats(spark, sf_dir):
+    return col.clique_sizes(fixtures.catalog(spark, sf_dir))
+
+
+@query("query_mask", "SELECT s_suppkey AS perf_id, s_nationkey AS clique_id, count(s_nationkey) OVER (PARTITION BY s_nationkey) AS clique_size, count(s_nationkey) OVER (PARTITION BY s_nationkey) > 1 AS is_query FROM supplier")
+def query_mask(spark, sf_dir):
+    return col.with_query_mask(fixtures.catalog(spark, sf_dir)).select("perf_id", "clique_id", "clique_size", "is_query")
+
+
+def _collection(spec):
+    def run(spark, sf_dir):
+        return col.numbered(col.select_collection(fixtures.catalog(spark, sf_dir), spec)).select("item_idx", "perf_id", "clique_id")
+
+    return run
+
+
+query("collection_full", S.CATALOG + "SELECT row_number() OVER (ORDER BY clique_id NULLS FIRST, perf_id) - 1 AS item_idx, perf_id, clique_id FROM catalog")(_collection({"kind": "full"}))
+query("collection_split", S.CATALOG + S.SPLIT + "SELECT row_number() OVER (ORDER BY clique_id NULLS FIRST, perf_id) - 1 AS item_idx, perf_id, clique_id FROM sized LEFT JOIN split USING (clique_id) WHERE split = 'test' OR n = 1")(_collection({"kind": "split", "split": "test", "seed": 0}))
+query("collection_subsample", S.CATALOG + S.DRAWN + "SELECT row_number() OVER (ORDER BY clique_id, perf_id) - 1 AS item_idx, perf_id, clique_id FROM catalog JOIN drawn USING (clique_id) WHERE place <= 10")(_collection({"kind": "subsample", "n_cliques": 10, "seed": 0}))
+
+
+@query("split_json_roundtrip", S.CATALOG + S.SPLIT + "SELECT clique_id::VARCHAR AS clique_id, split, 0::BIGINT AS seed FROM split")
+def split_json_roundtrip(spark, sf_dir):
+    split = col.split_cliques(fixtures.catalog(spark, sf_dir)).withColumn("clique_id", F.col("clique_id").cast("string"))
+    folder = _scratch(spark, "split")
+    results.write_split(split, folder, 0)
+    return results.read_split(spark, folder)
+
+
+def _scratch(spark: SparkSession, what: str) -> str:
+    """A folder in the one that driver and executors share."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="echolattice-")
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+# ---- pair distances of the methods ----------------------------------------------------------------------------
+
+
+@query("random_floor", S.chain(S.RANDOM_PAIRS, S.RANKED, S.PER_QUERY) + S.SUMMARY)
+def random_floor(spark, sf_dir):
+    return evaluation.evaluate(similarity.random_pairs(fixtures.items(spark, sf_dir), 0))
+
+
+@query("duration_metrics", S.chain(S.CATALOG_BODY, S.DURATION_PAIRS, S.RANKED_ANSWERABLE, S.PER_QUERY) + S.SUMMARY)
+def duration_metrics(spark, sf_dir):
+    items = fixtures.catalog(spark, sf_dir).select(F.col("perf_id").alias("item_idx"), F.col("clique_id").alias("label"), "n_frames")
+    return evaluation.evaluate(registry.query_pairs(similarity.duration_pairs(items)))
+
+
+# ---- sequences ------------------------------------------------------------------------------------------------
+
+
+def _long(frames: DataFrame, name: str = "frame") -> DataFrame:
+    """perf_id, frame, pitch and x of (perf_id, frames), without zeros."""
+    rows = frames.select("perf_id", F.posexplode("frames").alias(name, "v")).select("perf_id", name, F.posexplode("v").alias("pitch", "x"))
+    return rows.withColumn("x", r6("x")).where("x <> 0")
+
+
+@query("chroma_cells", S.CELLS + "SELECT perf_id, frame, pitch, round(x, 6) AS x FROM cells WHERE x <> 0")
+def chroma_cells(spark, sf_dir):
+    return fixtures.cells(spark, sf_dir).withColumn("x", r6("x")).where("x <> 0")
+
+
+def _normalized(kind):
+    return lambda spark, sf_dir: _long(fixtures.frames(spark, sf_dir).withColumn("frames", seq.normalize_frames(F.col("frames"), kind)))
+
+
+for _kind, _norm in (("max", "max(x)"), ("l2", "sqrt(sum(x * x))"), ("l1", "sum(abs(x))")):
+    query(f"normalize_{_kind}", S.CELLS + f", n AS (SELECT perf_id, frame, {_norm} AS n FROM cells GROUP BY ALL) SELECT perf_id, frame, pitch, round(x / n, 6) AS x FROM cells JOIN n USING (perf_id, frame) WHERE n > 1e-9 AND round(x / n, 6) <> 0")(_normalized(_kind))
+
+
+def _downsampled(how):
+    return lambda spark, sf_dir: _long(fixtures.frames(spark, sf_dir).withColumn("frames", seq.downsample(F.col("frames"), 4, how)), "block")
+
+
+for _how, _agg in (("mean", "avg(x)"), ("median", "median(x)"), ("max", "max(x)")):
+    query(f"downsample_{_how}", S.chain(S.DENSE) + f"SELECT perf_id, (frame // 4)::INTEGER AS block, pitch, round({_agg}, 6) AS x FROM dense WHERE frame // 4 < (SELECT n FROM axis) // 4 GROUP BY ALL HAVING round({_agg}, 6) <> 0")(_downsampled(_how))
+
+
+@query("downsample_rates", "SELECT * FROM (VALUES (5.0, 17), (2.0, 43), (100.0, 1)) t(target_hz, factor)")
+def downsample_rates(spark, sf_dir):
+    """Blocks that bring the native rate near others."""
+    return spark.createDataFrame([(t, seq.rate_factor(seq.NATIVE_RATE, t)) for t in (5.0, 2.0, 100.0)], "target_hz double, factor int")
+
+
+@query("transpose_roll", S.CELLS + "SELECT perf_id, frame, ((pitch + 5) % 12)::INTEGER AS pitch, round(x, 6) AS x FROM cells WHERE x <> 0")
+def transpose_roll(spark, sf_dir):
+    return _long(fixtures.frames(spark, sf_dir).withColumn("frames", seq.transpose(F.col("frames"), 5)))
+
+
+@query("global_profile", S.chain(S.DENSE, S.PROFILE) + "SELECT perf_id, pitch, round(x, 6) AS x FROM profile")
+def global_profile(spark, sf_dir):
+    rows = fixtures.frames(spark, sf_dir).select("perf_id", F.posexplode(seq.profile(F.col("frames"))).alias("pitch", "x"))
+    return rows.withColumn("x", r6("x"))
+
+
+@query("oti_pairs", S.chain(S.DENSE, S.PROFILE, S.OTI) + "SELECT a AS query_idx, b AS item_idx, steps FROM oti WHERE a < b")
+def oti_pairs(spark, sf_dir):
+    items = fixtures.performances(spark, sf_dir).select("item_idx", "label", seq.profile(F.col("frames")).alias("p"))
+    pairs = similarity.upper_pairs(items, "p")
+    return pairs.select("query_idx", "item_idx", seq.optimal_transposition(F.col("query_p"), F.col("item_p")).alias("steps"))
+
+
+@query("sliding_patches", S.chain(S.DENSE, S.PATCHES) + "SELECT perf_id, patch, count(DISTINCT t) AS n_frames, round(sum(x), 6) AS total FROM patches GROUP BY ALL")
+def sliding_patches(spark, sf_dir):
+    rows = fixtures.frames(spark, sf_dir).select("perf_id", F.posexplode(seq.patches(F.col("frames"), 32, 16)).alias("patch", "p"))
+    return rows.select("perf_id", "patch", F.size("p").cast("long").alias("n_frames"), r6(seq.total(F.flatten("p"))).alias("total"))
+
+
+def _descriptors(spark, sf_dir, drop_dc=False):
+    items = fixtures.performances(spark, sf_dir)
+    return ftm2d.descriptors(items, seq.normalize_frames(F.col("frames"), "max"), length=32, hop=16, coefficients=8, drop_dc=drop_dc).select("item_idx", "label", "vec")
+
+
+def _descriptor_rows(drop_dc):
+    def run(spark, sf_dir):
+        rows = _descriptors(spark, sf_dir, drop_dc).select(F.col("item_idx").alias("perf_id"), F.posexplode("vec").alias("bin", "x"))
+        return rows.withColumn("x", F.abs(r6("x")))
+
+    return run
+
+
+query("ftm2d_descriptor", S.chain(S.DENSE, S.ftm2d()) + "SELECT perf_id, bin, abs(round(x, 6)) AS x FROM descriptor")(_descriptor_rows(False))
+query("ftm2d_nodc", S.chain(S.DENSE, S.ftm2d(True)) + "SELECT perf_id, bin, abs(round(x, 6)) AS x FROM descriptor")(_descriptor_rows(True))
+
+
+def _ftm2d_scores(spark, sf_dir):
+    return evaluation.score_vectors(_descriptors(spark, sf_dir), similarity.cosine_pairs)
+
+
+@query("ftm2d_metrics", S.chain(S.DENSE, S.ftm2d(), S.DESCRIPTOR_PAIRS, S.RANKED_ANSWERABLE, S.PER_QUERY) + S.SUMMARY)
+def ftm2d_metrics(spark, sf_dir):
+    return evaluation.summarize(_ftm2d_scores(spark, sf_dir))
+
+
+# ---- alignment ------------------------------------------------------------------------------------------------
+
+#: Weeks of a block, and frames of a state, of the alignment queries.
+WEEKS, STATE = 14, 9
+
+
+def _sequences(spark, sf_dir):
+    states, mean = qmax.prepare(F.col("frames"), 1.0, 1 / WEEKS, STATE)
+    return fixtures.performances(spark, sf_dir).select("item_idx", "label", states.alias("states"), mean.alias("profile"))
+
+
+@query("delay_embed", S.chain(S.DENSE, S.states(WEEKS, STATE)) + "SELECT perf_id, i AS state, len(s)::INTEGER AS width, round(list_sum(s), 6) AS total, round(s[1], 6) AS first, round(s[len(s)], 6) AS last FROM states")
+def delay_embed(spark, sf_dir):
+    rows = _sequences(spark, sf_dir).select(F.col("item_idx").alias("perf_id"), F.posexplode("states").alias("state", "s"))
+    return rows.select("perf_id", "state", F.size("s").alias("width"), r6(seq.total(F.col("s"))).alias("total"), r6(F.element_at("s", 1)).alias("first"), r6(F.element_at("s", -1)).alias("last"))
+
+
+@query("qmax_score_known", S.QMAX_KNOWN)
+def qmax_score_known(spark, sf_dir):
+    """Plots whose scores are known by hand, by the fold over rows and with unequal gaps."""
+    plots = spark.sql(f"SELECT * FROM VALUES {S.PLOT_ROWS} AS t(plot, cells)").select("plot", F.transform(F.split("cells", "/"), lambda r: F.transform(F.split(r, ""), lambda c: c == "1")).alias("rows"))
+    return plots.select("plot", qmax.score_expression(F.col("rows")).alias("score"), qmax.score_expression(F.col("rows"), 0.5, 0.7).alias("unequal"))
+
+
+@query("qmax_pairs", S.chain(S.DENSE, S.states(WEEKS, STATE), S.PROFILE.replace("FROM dense", "FROM coarse"), S.OTI, S.qmax()) + "SELECT query_idx, item_idx, distance FROM pairs WHERE query_idx < item_idx")
+def qmax_pairs(spark, sf_dir):
+    return qmax.qmax_pairs(_sequences(spark, sf_dir)).where("query_idx < item_idx").select("query_idx", "item_idx", "distance")
+
+
+@query("qmax_metrics", S.chain(S.DENSE, S.states(WEEKS, STATE), S.PROFILE.replace("FROM dense", "FROM coarse"), S.OTI, S.qmax(), S.RANKED_ANSWERABLE, S.PER_QUERY) + S.SUMMARY)
+def qmax_metrics(spark, sf_dir):
+    return evaluation.evaluate(registry.query_pairs(qmax.qmax_pairs(_sequences(spark, sf_dir))))
+
+
+# ---- reports and exploration ----------------------------------------------------------------------------------
+
+
+@query("typical_pair", S.chain(S.E_PAIRS, S.RANKED) + S.TYPICAL)
+def typical_pair(spark, sf_dir):
+    """The relevant pair whose rank is nearest the median rank of relevant pairs."""
+    ranked = evaluation.rank_pairs(similarity.cosine_pairs(fixtures.items(spark, sf_dir))).where("rel = 1")
+    mid = ranked.agg(F.median("rank").cast("int").alias("median_rank"))
+    near = ranked.crossJoin(F.broadcast(mid)).orderBy(F.abs(F.col("rank") - F.col("median_rank")), "query_idx", "item_idx").limit(1)
+    return near.select("query_idx", "item_idx", F.col("rank").cast("long").alias("rank"), F.col("median_rank").cast("long").alias("median_rank"), "distance")
+
+
+@query("median_stranger", S.chain(S.E_PAIRS, S.RANKED) + S.STRANGER)
+def median_stranger(spark, sf_dir):
+    """For each query the middle one of the items of other labels at a finite distance."""
+    from pyspark.sql import Window
+
+    pairs = similarity.cosine_pairs(fixtures.items(spark, sf_dir)).where("query_label <> item_label").where(seq.is_finite(F.col("distance")))
+    own = Window.partitionBy("query_idx")
+    placed = pairs.withColumns({"at": F.row_number().over(own.orderBy("distance", "item_idx")), "n": F.count("*").over(own)})
+    return placed.where(F.col("at") == F.floor(F.col("n") / 2) + 1).select("query_idx", "item_idx", "distance")
+
+
+@query("method_report", S.REPORT)
+def method_report(spark, sf_dir):
+    rows = spark.sql(f"SELECT * FROM VALUES {S.REPORT_ROWS} AS t(run_name, method, kind, n_items, n_queries, map, mr1, p_at_k, tie_fraction)")
+    rows = rows.select("run_name", "method", "kind", "n_items", "n_queries", *(F.col(c).cast("double").alias(c) for c in ("map", "mr1", "p_at_k", "tie_fraction")))
+    return results.report(rows)
+
+
+@query("metadata_manifest", S.MANIFEST)
+def metadata_manifest(spark, sf_dir):
+    texts = spark.createDataFrame([(S.METADATA,)], "value string")
+    files = spark.createDataFrame([(p,) for p in S.FILES], "path string")
+    clique, perf = archive.parse_ids(F.col("path"), "hpcp")
+    return archive.catalog(files.select(clique.alias("clique_id"), perf.alias("perf_id"), "path"), archive.parse_metadata(texts))
+
+
+@query("cache_roundtrip", S.chain(S.DENSE) + "SELECT perf_id, count(DISTINCT frame) AS n_frames, round(sum(x), 6) AS total FROM dense GROUP BY ALL")
+def cache_roundtrip(spark, sf_dir):
+    path = _scratch(spark, "frames")
+    archive.build_cache(fixtures.frames(spark, sf_dir), path)
+    if not archive.exists(spark, path):
+        raise RuntimeError("the cache wasn't written to its end")
+    return archive.load_cache(spark, path).select("perf_id", "n_frames", r6(seq.total(F.flatten("frames"))).alias("total"))
+
+
+@query("resample_crop", S.chain(S.DENSE) + "SELECT perf_id, i::INTEGER AS at, pitch, round(x, 6) AS x FROM dense JOIN range(64) t(i) ON frame = 10 + round_even(i * 99 / 63, 0) WHERE x <> 0")
+def resample_crop(spark, sf_dir):
+    return _long(fixtures.frames(spark, sf_dir).withColumn("frames", seq.resample(F.col("frames"), 10, 100, 64)), "at")
+
+
+@query("invariance", S.chain(S.DENSE, S.ftm2d()) + "SELECT perf_id, 0.0::DOUBLE AS drift FROM descriptor GROUP BY perf_id")
+def invariance(spark, sf_dir):
+    """How far a descriptor moves when its sequence is transposed by 5: not at all."""
+    rows = fixtures.performances(spark, sf_dir).withColumn("frames", seq.normalize_frames(F.col("frames"), "max"))
+    how = {"length": 32, "hop": 16, "coefficients": 8}
+    a = ftm2d.descriptors(rows, F.col("frames"), **how)
+    b = ftm2d.descriptors(a.withColumnRenamed("vec", "one"), seq.transpose(F.col("frames"), 5), **how)
+    return b.select(F.col("item_idx").alias("perf_id"), r6(F.greatest(F.lit(0.0), 1 - seq.dot(F.col("one"), F.col("vec")))).alias("drift"))
+
+
+@query("pair_export_json")
+def pair_export_json(spark, sf_dir):
+    """The first clique's first two performances and the first of another clique, as one JSON text: rounded frames, similarities, matches."""
+    rows = fixtures.performances(spark, sf_dir).withColumn("coarse", seq.normalize_frames(seq.downsample(F.col("frames"), WEEKS), "max"))
+    named = col.numbered(col.with_query_mask(rows.select(F.col("item_idx").alias("perf_id"), F.col("label").alias("clique_id"), "coarse")))
+    from pyspark.sql import Window
+
+    first = named.withColumn("place", F.row_number().over(Window.partitionBy("clique_id").orderBy("perf_id")))
+    a = first.where("place = 1").orderBy(F.desc("is_query"), "clique_id").limit(1)
+    other = first.join(F.broadcast(a.select(F.col("clique_id").alias("own"), F.col("perf_id").alias("me"))), F.col("perf_id") != F.col("me"))
+    mate = other.where("clique_id = own").orderBy("place").limit(1).withColumn("kind", F.lit("mate"))
+    stranger = other.where("clique_id <> own").orderBy("clique_id", "place").limit(1).withColumn("kind", F.lit("stranger"))
+    both = mate.unionByName(stranger).select("kind", F.col("perf_id").alias("b"), F.col("coarse").alias("y"))
+    pair = both.crossJoin(F.broadcast(a.select(F.col("perf_id").alias("a"), F.col("coarse").alias("x"))))
+    unit = lambda f: F.transform(f, seq.l2_normalize)
+    similarity_rows = F.transform(unit(F.col("x")), lambda u: F.transform(unit(F.col("y")), lambda v: F.round(seq.dot(u, v), 2)))
+    shown = lambda f: F.transform(f, lambda v: F.transform(v, lambda x: F.round(x, 3)))
+    cells = F.flatten(F.transform("s", lambda r, i: F.transform(r, lambda x, j: F.struct(i.alias("i"), j.alias("j"), x.alias("x")))))
+    out = pair.withColumn("s", similarity_rows)
+    return out.select("kind", "a", "b", F.to_json(F.struct(shown(F.col("x")).alias("x"), shown(F.col("y")).alias("y"), F.flatten("s").alias("similarity"), F.transform(F.filter(cells, lambda c: c["x"] >= 0.95), lambda c: F.array(c["i"], c["j"])).alias("matches"))).alias("json"))
+
+
+@query("crp_density")
+def crp_density(spark, sf_dir):
+    """Share of matching cells of every pair's plot, without transposition, and of all pairs by whether their cliques agree."""
+    import numpy as np
+    import pandas as pd
+
+    items = _sequences(spark, sf_dir).select("item_idx", "label", F.flatten("states").alias("s"), F.size("states").alias("n"))
+    pairs = similarity.upper_pairs(items, "s", "n")
+
+    @F.pandas_udf("double")
+    def share(a, m, b, n):
+        return pd.Series([float(qmax.recurrence(np.asarray(x).reshape(i, -1), np.asarray(y).reshape(j, -1)).mean()) for x, i, y, j in zip(a, m, b, n, strict=True)])
+
+    each = pairs.repartition(F.xxhash64("query_idx", "item_idx")).withColumn("density", share("query_s", "query_n", "item_s", "item_n"))
+    return each.groupBy((F.col("query_label") == F.col("item_label")).alias("same_clique")).agg(r6(F.avg("density")).alias("density"), F.count("*").alias("pairs"))
+
 
-def queries() -> dict:
-    return {}
+@query("synthetic_corpus")
+def synthetic_corpus(spark, sf_dir):
+    """A made-up collection's scores by three methods."""
+    out = registry.run_synthetic(spark)
+    return spark.createDataFrame([(p["method"], p["metrics"]["map"], p["metrics"]["mr1"], p["metrics"]["n_queries"]) for p in out], "method string, map double, mr1 double, n_queries long")
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("learned_embedding")
+def learned_embedding(spark, sf_dir):
+    """Scores of embeddings by the network at its initial parameters, which are the same everywhere."""
+    items = fixtures.performances(spark, sf_dir)
+    vec = learned.embed(items, seq.normalize_frames(seq.downsample(F.col("frames"), 4), "max"), learned.initial(16, 4)).select("item_idx", "label", "vec")
+    return evaluation.summarize(evaluation.score_vectors(vec, similarity.cosine_pairs))
