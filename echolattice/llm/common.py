@@ -226,52 +226,56 @@ def text_slices(col: pa.Array, most: int = 1 << 20):
 # ---- candidates by shared keys --------------------------------------------------------------------------------
 
 
-def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted by key: the keys, each key's least id on all its rows, and the ids."""
-    order = np.lexsort((ids, keys))
-    k, v = keys[order], ids[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    head = np.repeat(v[first], np.diff(np.concatenate([first, [len(k)]])))
-    return k, head, v
-
-
-def _combined(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """One row for each key, with its least id; other ids of a key are joined to that one at once, as rows with a head."""
-    k, head, v = _stars(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
-    one = np.concatenate([[True], k[1:] != k[:-1]])
-    other = np.unique(np.stack([v[v != head], head[v != head]], 1), axis=0)
-    key = np.concatenate([k[one], other[:, 0]])
-    heads = pa.concat_arrays([pa.nulls(int(one.sum()), pa.int64()), pa.array(other[:, 1])])
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate([v[one], other[:, 0]])), heads], names=["key", "id", "head"])
+#: A row of keyed(): one id of a key in its run, the same where the run has others, and those others.
+_ALONE, _FIRST, _OTHER = 0, 1, 2
+_KEYED = "spread long, key long, id long, need int, role int"
 
 
-def _heads(batches):
-    """From rows sorted by key: an edge from each id to its key's least id."""
-    last_key, last_head = None, 0
+def _combined(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """A run's different (key, id), of which one id a key is dealt out by the key; others are known to share it and spread by id."""
+    keys, ids, need = (np.concatenate([x[k] for x in held]) for k in range(3))
+    order = np.lexsort((ids, keys))
+    keys, ids, need = keys[order], ids[order], need[order]
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])])
+    keys, ids, need = keys[new], ids[new], need[new]
+    first = np.concatenate([[True], keys[1:] != keys[:-1]])
+    more = first & np.concatenate([~first[1:], [False]])
+    role = np.where(more, _FIRST, np.where(first, _ALONE, _OTHER)).astype(np.int32)
+    spread = np.where(first, keys, ids)
+    return pa.RecordBatch.from_arrays([pa.array(spread), pa.array(keys), pa.array(ids), pa.array(need.astype(np.int32)), pa.array(role)], names=["spread", "key", "id", "need", "role"])
+
+
+def _shared(batches):
+    """(key, id, need) of keys with several ids, from rows sorted by spread, key and id. A key's first row waits for a second id."""
+    last, waits = None, None  # key and id of the row before; the row, if it hasn't been given out
     for b in batches:
-        if not b.num_rows:
-            continue
-        given = b.column(2)
-        is_edge = given.is_valid().to_numpy(zero_copy_only=False)
-        keys, ids = b.column(0).to_numpy()[~is_edge], b.column(1).to_numpy()[~is_edge]
-        u, v = [b.column(1).to_numpy()[is_edge]], [given.drop_null().to_numpy()]
+        keys, ids, need, role = (b.column(k).to_numpy() for k in (1, 2, 3, 4))
+        other = role == _OTHER
+        out = [(keys[other], ids[other], need[other])]
+        keys, ids, need, role = keys[~other], ids[~other], need[~other], role[~other]
         if len(keys):
-            k, head, x = _stars(keys, ids)
-            if k[0] == last_key:
-                head[k == last_key] = last_head  # the rows are sorted, so what came before is less
-            far = x != head
-            u.append(x[far])
-            v.append(head[far])
-            last_key, last_head = k[-1], head[-1]
-        both = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-
-def keyed(pairs, most: int = 500_000):
-    """Rows (key, id, head) for candidates() from (keys, ids) arrays; what a task has gathered is combined before it is dealt out."""
+            if last is not None and last[0] == keys[0]:
+                if waits is not None:
+                    keys, ids, need, role = (np.concatenate([[x], y]) for x, y in zip(waits, (keys, ids, need, role), strict=True))
+                elif last[1] != ids[0]:  # the key is known to be shared
+                    role = role.copy()
+                    role[keys == keys[0]] = _FIRST
+            run = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]]))
+            begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            end = np.concatenate([begin[1:], [len(keys)]]) - 1
+            many = (ids[begin] != ids[end]) | (np.add.reduceat(role, begin) > 0)
+            give = many[run]
+            out.append((keys[give], ids[give], need[give]))
+            last, waits = (keys[-1], ids[-1]), None if give[-1] else (keys[-1], ids[-1], need[-1], role[-1])
+        k, i, n = (np.concatenate([x[c] for x in out]) for c in range(3))
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(i, pa.int64()), pa.array(n, pa.int32())], names=["key", "id", "need"])
+
+
+def keyed(items, most: int = 500_000):
+    """Rows for candidates() from (keys, id, need) of one item each; what a task has gathered is combined before it is dealt out."""
     held, n = [], 0
-    for keys, ids in pairs:
-        held.append((keys, ids))
+    for keys, ids, need in items:
+        held.append((keys, ids, need))
         n += len(keys)
         if n >= most:
             yield _combined(held)
@@ -280,14 +284,26 @@ def keyed(pairs, most: int = 500_000):
         yield _combined(held)
 
 
-def candidates(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component): parts that hold, for any two ids with a key in common, both. rows(key, id, head) come from keyed().
+def candidates(items: DataFrame, run, scratch: Scratch, prune: int = 0) -> DataFrame:
+    """(node, component): parts of ids such that any two ids that share as many keys as either needs are in one.
 
-    A key that any number of ids has sends one row from each combined run, so no task gathers its ids; edges are as many as rows at most.
+    run(batches of items) yields keyed() rows. A key that any number of ids has sends one row from each combined run, so no
+    task gathers its ids; keys of one id aren't written. Then, so many times, ids that share fewer keys than they need are
+    left out, and keys of one id again. Parts are the components of the graph that joins a key's ids to the least of them.
     """
-    dealt = rows.repartition("key").sortWithinPartitions("key", "id")
-    edges = dealt.mapInArrow(_heads, "a long, b long")
-    return connected_components(scratch.write(edges), scratch)
+    dealt = items.mapInArrow(run, _KEYED).repartition("spread").sortWithinPartitions("spread", "key", "id")
+    held = scratch.write(dealt.mapInArrow(_shared, "key long, id long, need int"))
+    for _ in range(prune):  # rows that two runs gave are counted twice: that keeps an id, and loses none
+        enough = scratch.write(held.groupBy("id").agg(F.count("*").alias("n"), F.max("need").alias("least")).where("n >= least").select("id"))
+        left = held.join(small(enough), "id", "left_semi")
+        several = left.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+        nxt = scratch.write(left.join(several, "key", "left_semi"))
+        scratch.drop(held)
+        held = nxt
+    heads = held.groupBy("key").agg(F.min("id").alias("head"))
+    edges = scratch.write(held.join(heads, "key").where("id <> head").select("id", "head").distinct())
+    scratch.drop(held)
+    return connected_components(edges, scratch)
 
 
 # ---- blocks of bounded size -----------------------------------------------------------------------------------

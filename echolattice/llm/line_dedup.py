@@ -129,7 +129,7 @@ def _ids(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def _line_keys(edits: int, short: int):
     def run(batches):
-        def pairs():
+        def items():
             seen: set[int] = set()  # lines of this partition: copies in it are keyed once
             for b in batches:
                 for _, off, data in text_slices(b.column(0)):
@@ -146,9 +146,9 @@ def _line_keys(edits: int, short: int):
                             new.append(k)
                     long, ids = long[new], ids[new]
                     keys = segment_keys(Rolling(mix64(codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))), starts[long], (ends - starts)[long], edits)
-                    yield keys.ravel(), np.repeat(ids, keys.shape[1])
+                    yield keys.ravel(), np.repeat(ids, keys.shape[1]), np.ones(keys.size, np.int64)
 
-        yield from keyed(pairs())
+        yield from keyed(items())
 
     return run
 
@@ -181,7 +181,7 @@ def linked_lines(lines: list[str], edits: int, side: np.ndarray | None = None):
 def line_classes(docs: DataFrame, scratch: Scratch, edits: int = EDITS, short: int = SHORT) -> DataFrame:
     """(line, class) for the lines of docs(text) that are within edits of a different one; names as line_id gives them, the least of a class."""
     ship(docs.sparkSession)
-    parts = candidates(docs.select("text").mapInArrow(_line_keys(edits, short), "key long, id long, head long"), scratch)
+    parts = candidates(docs.select("text"), _line_keys(edits, short), scratch)
     members = scratch.write(parts.select(F.col("node").alias("line"), F.col("component").alias("part")))
     texts = docs.select(F.explode(F.split("text", "\n")).alias("text")).where(F.length("text") >= short).withColumn("line", line_id(F.col("text")))
     texts = scratch.write(texts.join(small(members), "line").select("part", "line", "text").dropDuplicates(["line"]))
