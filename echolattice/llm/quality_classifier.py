@@ -14,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolattice.llm.common import Scratch, ship, text_slices
+from echolattice.llm.common import Scratch, ship, small, text_slices
 
 #: Labelled documents to fit on at most; of them one in HELD_OUT calibrates.
 LABELLED, HELD_OUT = 20_000, 4
 ROUNDS, CONFIDENT, PSEUDO = 3, 0.95, 500
-#: Least probability of good quality to be kept.
-KEEP = 0.5
+#: Least probability of good quality to be kept: what is rejected is bad with nine chances in ten.
+KEEP = 0.1
 LANGS, SOURCES = 16, 64
 
 _TEXT = ("upper", "symbols", "shouts", "digits", "stops", "spaces", "other", "breaks", "distinct", "runs", "word_chars", "words", "again", "bars")
@@ -160,28 +160,32 @@ def _columns(rows: list, names: list[str]) -> dict[str, np.ndarray]:
     return {n: np.array([r[n] for r in rows]) for n in names}
 
 
-def co_train(table: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, confident: float = CONFIDENT, pseudo: int = PSEUDO) -> tuple[View, View, float] | None:
+def co_train(table: DataFrame, labels: DataFrame, scratch: Scratch, labelled: int = LABELLED, rounds: int = ROUNDS, confident: float = CONFIDENT, pseudo: int = PSEUDO) -> tuple[View, View, float] | None:
     """Both trained and calibrated views, and the prior log-odds; None if the labels lack one of the classes.
 
-    table: the views of all documents, materialised. Of the labelled rows the `labelled` of least hash are fitted on; of the
-    others the `pseudo` that a view is surest of, for each class, become its pseudo-labels of a round, copies counted once.
+    table: the views of all documents, materialised. Of the labelled rows about `labelled` at most, by their hash, are fitted
+    on; of the others the `pseudo` that a view is surest of, for each class, become its pseudo-labels of a round, copies
+    counted once. The driver gets those rows and no others.
     """
     text, meta = View([f"t_{x}" for x in _TEXT], {}), View(["m_lang", "m_source", "m_chars"], {"m_lang": LANGS, "m_source": SOURCES})
     names = [*text.names, *meta.names]
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     given = given.groupBy("doc_id").agg(F.min("y").alias("y"))
-    order = F.xxhash64("doc_id", F.lit(29))
-    sample = table.join(given, "doc_id").select("doc_id", "text_key", "y", *names).orderBy(order, "text_key").limit(labelled).collect()
+    given = scratch.write(given)
+    part = min(1.0, 0.97 * labelled / max(1, given.count()))
+    drawn = given.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) < int(part * (1 << 30)))
+    sample = table.join(small(drawn), "doc_id").select("doc_id", "text_key", "y", *names).limit(labelled).collect()
+    sample.sort(key=lambda r: (r["doc_id"], r["text_key"]))
     x, y = _columns(sample, names), np.array([r["y"] for r in sample], float)
     if len(set(y.tolist())) < 2 or len(y) < 2 * HELD_OUT:
         return None
-    held = np.arange(len(y)) % HELD_OUT == 0
+    held = np.array([r["text_key"] % HELD_OUT == 0 for r in sample])  # copies are on one side
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held = np.zeros(len(y), bool)
     own = np.flatnonzero(~held)
     check = np.flatnonzero(held) if held.any() else own
     tx, mx = text.matrix(x), meta.matrix(x)
-    pool = table.join(given, "doc_id", "left_anti").groupBy("text_key").agg(F.min(F.struct("doc_id", *names)).alias("r")).select("text_key", "r.*")
+    pool = table.join(small(given), "doc_id", "left_anti")
     extra: dict[str, list] = {"text": [], "meta": []}  # rows that the other view is sure of
     for turn in range(rounds + 1):
         for name, view, mat in (("text", text, tx), ("meta", meta, mx)):
@@ -193,10 +197,12 @@ def co_train(table: DataFrame, labels: DataFrame, labelled: int = LABELLED, roun
             break
         sure = float(np.log(confident / (1 - confident)))
         for view, other in ((text, "meta"), (meta, "text")):
-            scored = pool.withColumn("z", view.odds())
-            good = scored.where(F.col("z") >= sure).orderBy(F.desc("z"), "text_key").limit(pseudo)
-            bad = scored.where(F.col("z") <= -sure).orderBy("z", "text_key").limit(pseudo)
-            extra[other] += [r.asDict() | {"y": k} for k, part in ((1.0, good), (0.0, bad)) for r in part.collect()]
+            scored = pool.select("text_key", view.odds().alias("z")).distinct()
+            good = scored.where(F.col("z") >= sure).orderBy(F.desc("z"), "text_key").limit(pseudo).select("text_key", F.lit(1.0).alias("y"))
+            bad = scored.where(F.col("z") <= -sure).orderBy("z", "text_key").limit(pseudo).select("text_key", F.lit(0.0).alias("y"))
+            keys = F.broadcast(scratch.write(good.unionByName(bad)))  # 2 * pseudo rows at most
+            rows = pool.join(keys, "text_key").groupBy("text_key").agg(F.min(F.struct("y", "doc_id", *names)).alias("r")).select("text_key", "r.*").collect()
+            extra[other] += [r.asDict() for r in sorted(rows, key=lambda r: r["text_key"])]
     p = np.clip(y[check].mean(), 1e-3, 1 - 1e-3)
     return text, meta, float(np.log(p / (1 - p)))
 
@@ -210,7 +216,7 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, keep: float =
     can be told apart: all scores are null and all documents are kept. Other columns are ignored.
     """
     table = scratch.write(views(docs))
-    models = co_train(table, labels)
+    models = co_train(table, labels, scratch)
     if models is None:
         none = F.lit(None).cast("double")
         return table.select("doc_id", "text_key", none.alias("text_score"), none.alias("meta_score"), none.alias("score"), F.lit(True).alias("kept"))
