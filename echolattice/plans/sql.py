@@ -180,7 +180,7 @@ PLOT_ROWS = ", ".join(
         _plot("empty", 6, set()),
         _plot("partial", 6, {(1, 1), (2, 2), (3, 3)}),
         _plot("two for one", 8, {(1, 1), (2, 3), (3, 5), (4, 7)}),
-        _plot("gaps", 9, {(0, 0), (1, 1), (2, 2), (3, 3), (6, 6), (7, 7), (8, 8)}),
+        _plot("gaps", 11, {(0, 0), (1, 1), (2, 2), (3, 3), (8, 8), (9, 9), (10, 10)}),
     ]
 )
 
