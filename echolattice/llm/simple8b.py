@@ -16,16 +16,20 @@ COUNTS = np.array([240, 1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 
 
+_BITS = np.zeros(1 << 16, np.uint8)
+for _k in range(16):
+    _BITS[1 << _k :] = _k + 1
+
+
 def bit_lengths(ids: np.ndarray) -> np.ndarray:
     """Bits of each id as uint8."""
-    out = np.zeros(len(ids), np.uint8)
-    x = ids.astype(np.uint64)
-    for s in (32, 16, 8, 4, 2, 1):
-        big = x >= np.uint64(1) << np.uint64(s)
-        if big.any():
-            out += (big * s).astype(np.uint8)
-            x = np.where(big, x >> np.uint64(s), x)
-    return out + (x > 0).astype(np.uint8)
+    if len(ids) and ids.max() >> np.uint64(16):
+        x, out = ids.astype(np.uint64), np.zeros(len(ids), np.uint8)
+        for part in range(4):
+            low = _BITS[(x >> np.uint64(16 * part)).astype(np.uint16)]
+            out = np.where(low > 0, low + 16 * part, out).astype(np.uint8)
+        return out
+    return _BITS[ids.astype(np.uint16)]
 
 
 def _choices(bits: np.ndarray) -> np.ndarray:

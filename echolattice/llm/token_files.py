@@ -21,8 +21,8 @@ from echolattice.llm.common import Scratch, ship, small, text_slices, tokenizer_
 from echolattice.llm.tokens import WordLevel, encoder
 
 MAGIC = b"S8BIDS01"
-#: Ids after which a file is closed: some 10 MB, so that a reader holds one file at a time.
-FILE_IDS = 4_000_000
+#: Ids after which a file is closed: some 6 MB, so that a reader holds one file at a time.
+FILE_IDS = 2_000_000
 END_ID = 2
 
 
@@ -111,14 +111,16 @@ def write_token_files(docs: DataFrame, folder: str, path: str, scratch: Scratch,
     return scratch.write(ranged.mapInArrow(write, "part int, file int, name string, docs long, ids long"))
 
 
-def read_token_files(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and the ids themselves, from the files."""
+def read_token_files(spark: SparkSession, folder: str, files: DataFrame, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for, the ids themselves, from the files."""
     ship(spark)
     starts = files.groupBy("part").agg(F.sum("ids").alias("n"))
     parts = starts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     own = F.coalesce(F.sum("ids").over(Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     listed = files.withColumn("own", own).join(F.broadcast(parts), "part").select("name", (F.col("before") + F.col("own")).alias("start"))
 
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+
     def read(batches):
         for b in batches:
             for start, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -129,13 +131,17 @@ def read_token_files(spark: SparkSession, folder: str, files: DataFrame) -> Data
                 crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(begins.tolist(), ends.tolist(), strict=True)]
                 for i in range(0, len(docs), 2000):
                     j = min(i + 2000, len(docs))
+                    own = [pa.array(docs[i:j], pa.int64()), pa.array(begins[i:j] + start, pa.int64()), pa.array(counts[i:j], pa.int64()), pa.array(crc[i:j], pa.int64())]
+                    if not with_ids:
+                        yield pa.RecordBatch.from_arrays(own, names=names)
+                        continue
                     at = np.concatenate([begins[i:j], ends[j - 1 : j]]) - begins[i]
                     tokens = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids[begins[i] : ends[j - 1]].astype(np.int32), pa.int32()))
-                    yield pa.RecordBatch.from_arrays([pa.array(docs[i:j], pa.int64()), pa.array(begins[i:j] + start, pa.int64()), pa.array(counts[i:j], pa.int64()), pa.array(crc[i:j], pa.int64()), tokens], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                    yield pa.RecordBatch.from_arrays([*own, tokens], names=[*names, "ids"])
 
     found = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     held = found.join(small(listed), "name").select("start", "content")
-    return held.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return held.mapInArrow(read, ", ".join(f"{x} long" for x in names) + ", ids array<int>" * with_ids)
 
 
 def op7_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,4 +155,4 @@ def op7_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_token_files(docs, folder, tokenizer_path("word_bpe_49k.json"), scratch)
     if files.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return read_token_files(spark, folder, files).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_token_files(spark, folder, files, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")

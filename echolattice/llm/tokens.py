@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from itertools import chain
 
 import numpy as np
 
@@ -64,6 +65,18 @@ class ByteLevel:
         return (np.concatenate(each) if each else np.zeros(0, np.uint32)).astype(np.uint32, copy=False), off
 
 
+class _Words(dict):
+    """Numbers of words; a new word gets the next one and is noted."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        k = self[word] = len(self)
+        self.new.append(word)
+        return k
+
+
 class WordLevel:
     """A vocabulary whose pre-tokenizer splits at white space and drops it, so that a text's ids are its words' ids in a row.
 
@@ -71,6 +84,7 @@ class WordLevel:
     vocabulary's word end and merges into the last byte before anything else; other words go to the library.
     """
 
+    STOPS = frozenset(".,;:!?")
     END, MARK, BEYOND_LATIN = "</w>", "\0", "\u0250"
     #: The file's own splitting pattern.
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -94,39 +108,53 @@ class WordLevel:
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at = _Words()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _latin(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words in a row, and how many each has."""
-        normal = [w if w.isascii() else unicodedata.normalize("NFC", w) for w in words]
-        split = [self.pieces.findall(w.lower()) for w in normal]
-        ids = self.core.encode_to_numpy("\0".join(x for y in split for x in y) + "\0", disallowed_special=())
+        text = self.MARK.join(words)
+        low = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split(self.MARK)
+        pieces, counts = [], np.ones(len(low), np.int64)
+        for k, w in enumerate(low):
+            if w.isalpha():
+                pieces.append(w)
+            elif w[-1] in self.STOPS and w[:-1].isalpha():
+                pieces += (w[:-1], w[-1])
+                counts[k] = 2
+            else:
+                pieces += (own := self.pieces.findall(w))
+                counts[k] = len(own)
+        ids = self.core.encode_to_numpy(self.MARK.join(pieces) + self.MARK, disallowed_special=())
         piece_ends = np.flatnonzero(self.ends[ids]) + 1
-        word_ends = piece_ends[np.cumsum([len(x) for x in split]) - 1]
-        return ids, np.diff(np.concatenate([[0], word_ends]))
-
-    def _learn(self, words: list[str]) -> None:
-        latin = [w for w in words if max(w) < self.BEYOND_LATIN and self.MARK not in w and len(w) < 1000]
-        rest = [w for w in words if not (max(w) < self.BEYOND_LATIN and self.MARK not in w and len(w) < 1000)] if len(latin) < len(words) else []
-        if latin:
-            self._add(latin, *self._latin(latin))
-        if rest:
-            ids = [x.ids for x in self.library.tok.encode_batch_fast(rest, add_special_tokens=False)]
-            self._add(rest, np.fromiter((x for y in ids for x in y), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
-
-    def _add(self, words: list[str], new: np.ndarray, n: np.ndarray) -> None:
-        k = len(self.at)
-        while self.used + len(new) > len(self.flat):
+        return ids, np.diff(np.concatenate([[0], piece_ends[np.cumsum(counts) - 1]]))
+
+    def _learn(self) -> None:
+        """Ids of the words that were noted."""
+        words, self.at.new = self.at.new, []
+        first = len(self.at) - len(words)
+        plain = np.fromiter(((w.isascii() or max(w) < self.BEYOND_LATIN) and self.MARK not in w and len(w) < 1000 for w in words), bool, len(words))
+        latin, n = np.flatnonzero(plain), np.zeros(len(words), np.int64)
+        parts = []
+        if len(latin):
+            ids, n[latin] = self._latin(words if plain.all() else [words[k] for k in latin.tolist()])
+            parts.append((latin, ids))
+        if len(rest := np.flatnonzero(~plain)):
+            each = [x.ids for x in self.library.tok.encode_batch_fast([words[k] for k in rest.tolist()], add_special_tokens=False)]
+            n[rest] = np.fromiter(map(len, each), np.int64, len(each))
+            parts.append((rest, np.fromiter((x for y in each for x in y), np.uint32)))
+        total = int(n.sum())
+        while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while k + len(words) > len(self.start):
+        while len(self.at) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        self.flat[self.used : self.used + len(new)] = new
-        self.start[k : k + len(words)] = self.used + np.cumsum(n) - n
-        self.size[k : k + len(words)] = n
-        self.at.update(zip(words, range(k, k + len(words)), strict=True))
-        self.used += len(new)
+        self.size[first : len(self.at)] = n
+        for own, ids in parts:
+            ends = self.used + np.cumsum(n[own])
+            self.start[first + own] = ends - n[own]
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """str.split also splits at four control characters that are no white space to the library; texts with them go to it whole."""
@@ -143,10 +171,10 @@ class WordLevel:
                 j += 1
             if len(self.at) > WORDS_KEPT:
                 self._clear()
-            words = [w for x in lists if x for w in x]
-            if new := [w for w in dict.fromkeys(words) if w not in self.at]:
-                self._learn(new)
-            at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+            total = sum(len(x) for x in lists if x)
+            at = np.fromiter(map(self.at.__getitem__, chain.from_iterable(x for x in lists if x)), np.int64, total)
+            if self.at.new:
+                self._learn()
             size = self.size[at]
             ends = np.cumsum(size)
             total = int(ends[-1]) if len(ends) else 0
