@@ -119,3 +119,44 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     counts = [F.size(F.filter("spans", _of(k))).cast("long").alias(f"n_{k}") for k in BASE]
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+def _matches(kind: str, order: int, pattern: str, given: str) -> str:
+    """SQL for the matches of a pattern with their places, from what it splits the text into. given: texts that may have any."""
+    ahead = "coalesce(list_sum(list_transform(p[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0)"
+    return f"""
+  SELECT rid, '{kind}' AS kind, {order} AS o, m[k] AS x, ({ahead})::BIGINT AS a, regexp_replace(m[k], '[^0-9]', '', 'g') AS digits
+  FROM (SELECT rid, m, p, unnest(range(1, len(m) + 1)) AS k
+        FROM (SELECT rid, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS p FROM d WHERE {given}))"""
+
+
+_LUHN = "list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN (length(digits) - i) % 2 = 0 THEN digits[i]::INTEGER ELSE 2 * digits[i]::INTEGER - CASE WHEN digits[i]::INTEGER > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+_MOD97 = "list_reduce(list_concat([0], list_transform(string_split(substr(c, 5) || c[1:4], ''), lambda x: CASE WHEN x BETWEEN '0' AND '9' THEN x::INTEGER ELSE ascii(x) - 55 END)), lambda r, v: CASE WHEN v > 9 THEN (r * 100 + v) % 97 ELSE (r * 10 + v) % 97 END) = 1"
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+proposed AS ({" UNION ALL ".join(
+    [
+        _matches("email", 1, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "contains(t, '@')"),
+        _matches("ip", 2, r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "regexp_matches(t, '[0-9]\\.[0-9]')"),
+        _matches("card", 3, r"[0-9](?:[\x20-]?[0-9])+", "regexp_matches(t, '[0-9]')"),
+        _matches("phone", 4, r"\+[0-9][\x20().0-9-]+[0-9]", "contains(t, '+')"),
+        _matches("iban", 5, r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", "regexp_matches(t, '[A-Z]{2}[0-9]{2}')"),
+    ]
+)}),
+spans AS (
+  SELECT rid, kind, o, a, kind || ':' || a || ':' || (a + length(x)) AS s
+  FROM (SELECT *, replace(x, ' ', '') AS c FROM proposed)
+  WHERE CASE kind
+    WHEN 'ip' THEN len(list_filter(string_split(x, '.'), lambda y: length(ltrim(y, '0')) > 3 OR coalesce(TRY_CAST(ltrim(y, '0') AS INTEGER), 0) > 255)) = 0
+    WHEN 'card' THEN length(digits) BETWEEN 16 AND 19 AND {_LUHN}
+    WHEN 'phone' THEN length(digits) BETWEEN 8 AND 15
+    WHEN 'iban' THEN {_MOD97}
+    ELSE true END),
+found AS (
+  SELECT rid, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip, count(*) FILTER (WHERE kind = 'card') AS n_card,
+         count(*) FILTER (WHERE kind = 'phone') AS n_phone, string_agg(s, ',' ORDER BY o, a) FILTER (WHERE o < 5) AS base, string_agg(s, ',' ORDER BY o, a) AS spans
+  FROM spans GROUP BY rid)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN found USING (rid)
+"""
