@@ -82,6 +82,12 @@ def domain_of(source: Column) -> Column:
     return F.concat(F.lit("domain"), F.when(number == "", F.lit(0)).otherwise(number.try_cast("int") % 4))
 
 
+def place_key(seed: int, epoch: Column, doc: Column, text: Column) -> Column:
+    """A document's place in an epoch, 31 bits of an MD5 that any engine has; text: the text's own MD5."""
+    parts = F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc.cast("string"), F.lit("null")), text)
+    return F.shiftright(F.conv(F.substring(F.md5(parts.cast("binary")), 1, 8), 16, 10).cast("long"), 1)
+
+
 def mix(docs: DataFrame, scratch: Scratch, domain: Column, share: int = SHARE, epochs: int = EPOCHS, weights: dict = WEIGHTS, seed: int = 23) -> DataFrame:
     """The rows of docs that are taken, with _epoch (from 0), _tokens and the names _domain, _lang and _source.
 
@@ -93,8 +99,9 @@ def mix(docs: DataFrame, scratch: Scratch, domain: Column, share: int = SHARE, e
     named = {"_domain": domain, "_lang": F.col("lang"), "_source": F.col("source")}
     held = docs.select(F.struct(*names).alias("_row"), "doc_id", "text", *(F.coalesce(c, F.lit("(none)")).alias(k) for k, c in named.items()))
     path = ["_domain", "_lang", "_source"]
-    order = lambda epoch: F.shiftrightunsigned(F.xxhash64(F.lit(seed), epoch, "doc_id", F.xxhash64("text")), 33)  # noqa: E731  31 bits
-    slim = scratch.write(held.select(*path, "doc_id", F.xxhash64("text").alias("_text"), words(F.col("text")).alias("_tokens")))
+    order = lambda text: place_key(seed, F.col("_whole"), F.col("doc_id"), text)
+    print_ = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    slim = scratch.write(held.select(*path, "doc_id", print_.alias("_text"), words(F.col("text")).alias("_tokens")))
     stats = slim.groupBy(*path).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("docs")).limit(MOST_LEAVES + 1).collect()
     if len(stats) > MOST_LEAVES:
         raise ValueError(f"more than {MOST_LEAVES} leaves: give sources coarser names")
@@ -106,16 +113,15 @@ def mix(docs: DataFrame, scratch: Scratch, domain: Column, share: int = SHARE, e
         whole, rest = divmod(budgets[leaf], sizes[leaf]) if sizes[leaf] else (1, 0)
         rows.append((*leaf, int(whole), int(rest), int(-(-r["docs"] // BUCKET))))
     leaves = docs.sparkSession.createDataFrame(rows, "_domain string, _lang string, _source string, _whole int, _rest long, _buckets int")
-    place = F.shiftright(order(F.col("_whole")) * F.col("_buckets").cast("long"), 31).cast("int")
+    bucket = lambda place: F.shiftright(place * F.col("_buckets").cast("long"), 31).cast("int")
     # The bucket in which a leaf's last, partial epoch ends, and the tokens before it.
-    again = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_whole", "doc_id", "_text"), 33)
-    filled = slim.join(F.broadcast(leaves), path).withColumn("_bucket", F.shiftright(again * F.col("_buckets").cast("long"), 31).cast("int"))
+    filled = slim.join(F.broadcast(leaves), path).withColumn("_bucket", bucket(order(F.col("_text"))))
     filled = filled.groupBy(*path, "_bucket").agg(F.sum("_tokens").alias("n"), F.first("_rest").alias("_rest"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*path).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ends = filled.withColumn("before", before).where("before + n > _rest").groupBy(*path).agg(F.min(F.struct("_bucket", "before")).alias("e"))
     ends = scratch.write(ends.select(*path, F.col("e._bucket").alias("_end"), F.col("e.before").alias("_before")))
     plan = scratch.write(leaves.join(ends, path, "left"))  # a row for each leaf
-    placed = held.join(F.broadcast(plan), path).withColumns({"_place": order(F.col("_whole")), "_bucket": place})
+    placed = held.join(F.broadcast(plan), path).withColumn("_place", order(print_)).withColumn("_bucket", bucket(F.col("_place")))
     sure = F.col("_end").isNull() | (F.col("_bucket") < F.col("_end"))
     times = F.col("_whole") + F.when(sure & (F.col("_rest") > 0), 1).otherwise(0)
     most = placed.where(times > 0).withColumn("_epoch", F.explode(F.sequence(F.lit(0), times - 1)))
@@ -132,3 +138,48 @@ def op8_hierarchical_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     out = mix(docs, Scratch(spark, "mixing"), domain_of(F.col("source")))
     return out.select("doc_id", F.col("_epoch").alias("epoch"), F.col("_tokens").alias("tokens"), F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"))
+
+
+def _level(name: str, nodes: str, parents: str) -> str:
+    """SQL: table `name` (parent, name, budget) from nodes(parent, name, w, room) and parents(parent, budget).
+
+    In ascending order of room for weight, a node is full if its share of what is left is its room or more; the rest is
+    divided by weight, and what rounding leaves goes to the largest remainders.
+    """
+    return f"""
+{name}_n AS (SELECT n.*, least(budget, sum(room) OVER (PARTITION BY n.parent)) AS b FROM ({nodes}) n JOIN ({parents}) p ON n.parent = p.parent),
+{name}_o AS (
+  SELECT *, coalesce(sum(room) OVER (PARTITION BY parent ORDER BY room / w, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+         sum(w) OVER (PARTITION BY parent ORDER BY room / w, name ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_w FROM {name}_n),
+{name}_f AS (SELECT *, (b - used) * w >= room * left_w AS filled FROM {name}_o),
+{name}_r AS (
+  SELECT *, b - coalesce(sum(room) FILTER (WHERE filled) OVER (PARTITION BY parent), 0) AS rem, sum(w) FILTER (WHERE NOT filled) OVER (PARTITION BY parent) AS tot FROM {name}_f),
+{name}_q AS (SELECT *, CASE WHEN filled THEN room ELSE rem * w // tot END AS base, CASE WHEN filled THEN -1 ELSE rem * w % tot END AS part FROM {name}_r),
+{name} AS (
+  SELECT parent, name, (base + CASE WHEN NOT filled AND row_number() OVER (PARTITION BY parent ORDER BY part DESC, name) <= rem - sum(base) FILTER (WHERE NOT filled) OVER (PARTITION BY parent) THEN 1 ELSE 0 END)::BIGINT AS budget
+  FROM {name}_q)"""
+
+
+def oracle() -> str:
+    weight = lambda level: "CASE name " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS[level].items()) + " ELSE 1 END"
+    room = f"({EPOCHS} * sum(tokens))::BIGINT"
+    place = "('0x' || substr(md5('23:' || whole || ':' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 8))::BIGINT >> 1"
+    return rf"""
+WITH t AS (
+  SELECT doc_id, text, 'domain' || (coalesce(TRY_CAST(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) AS INTEGER), 0) % 4) AS domain,
+         coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS tokens
+  FROM documents),
+leaf AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens FROM t GROUP BY ALL),
+{_level("l1", f"SELECT *, {weight('domain')} AS w FROM (SELECT '' AS parent, domain AS name, {room} AS room FROM leaf GROUP BY ALL)", f"SELECT '' AS parent, sum(tokens)::BIGINT * {SHARE} // 100 AS budget FROM leaf")},
+{_level("l2", f"SELECT *, {weight('lang')} AS w FROM (SELECT domain AS parent, lang AS name, {room} AS room FROM leaf GROUP BY ALL)", "SELECT name AS parent, budget FROM l1")},
+{_level("l3", f"SELECT domain || '/' || lang AS parent, source AS name, {room} AS room, 1 AS w FROM leaf GROUP BY ALL", "SELECT parent || '/' || name AS parent, budget FROM l2")},
+plan AS (
+  SELECT domain, lang, source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END AS whole, CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest
+  FROM leaf JOIN l3 ON l3.parent = domain || '/' || lang AND l3.name = source),
+placed AS (SELECT t.*, whole, rest, {place} AS place FROM t JOIN plan USING (domain, lang, source)),
+last AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id NULLS FIRST, text NULLS FIRST ROWS UNBOUNDED PRECEDING) AS run
+  FROM placed WHERE rest > 0)
+SELECT doc_id, e::INTEGER AS epoch, tokens, domain, lang, source FROM placed, range({EPOCHS}) r(e) WHERE e < whole
+UNION ALL SELECT doc_id, whole::INTEGER, tokens, domain, lang, source FROM last WHERE run <= rest
+"""

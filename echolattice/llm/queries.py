@@ -26,6 +26,7 @@ ORACLES: dict[str, str] = {
     "op3_feistel_shards": sharding.oracle(),
     "op4_jaccard_rtree": jaccard_join.ORACLE,
     "op5_personal_data": personal_data.ORACLE,
+    "op8_hierarchical_budget": mixing.oracle(),
     "op9_line_frequency": quality_rules.ORACLE,
     "op10_segment_edit_join": line_dedup.ORACLE,
 }

@@ -37,7 +37,7 @@ def test_against_plain_prefixes(spark, docs, corpus, scratch, monkeypatch):
     seed = 23
     info = rows.withColumn("d", mixing.domain_of(F.col("source")))
     for e in range(4):
-        info = info.withColumn(f"k{e}", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(e), "doc_id", F.xxhash64("text")), 33))
+        info = info.withColumn(f"k{e}", mixing.place_key(seed, F.lit(e), F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     leaves = defaultdict(list)
     for r in info.collect():
         leaves[r["d"], r["lang"] or "(none)", r["source"] or "(none)"].append(r)

@@ -9,7 +9,7 @@ def con():
     return compare.duck(SF)
 
 
-@pytest.mark.parametrize("name", ["op1_cover_tree", "op3_feistel_shards", "op4_jaccard_rtree", "op5_personal_data", "op9_line_frequency", "op10_segment_edit_join"])
+@pytest.mark.parametrize("name", ["op1_cover_tree", "op3_feistel_shards", "op4_jaccard_rtree", "op5_personal_data", "op8_hierarchical_budget", "op9_line_frequency", "op10_segment_edit_join"])
 def test_sql(spark, con, name):
     from echolattice.llm import queries
 
