@@ -45,3 +45,37 @@ def test_odd_tables(spark, tmp_path, rows):
     got = cp.run(spark, str(tmp_path)).collect()
     # of two words in all, a budget of 90 % takes no document of two; those without words cost nothing
     assert sorted((r["doc_id"], r["length"]) for r in got) == ([(1, 1), (1, 1), (2, 1)] if rows else [])
+
+
+def test_lines_and_jaccard_against_plain_versions(spark):
+    """The two stages on the smallest table, held against all pairs."""
+    import corpus_pipeline as cp
+    from echolattice.llm import line_dedup
+    from test_components import components
+    from test_jaccard_join import brute
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    lines = sorted({x for _, t in rows for x in t.split("\n") if len(x) >= line_dedup.SHORT}, key=len)
+    near = []
+    for i, a in enumerate(lines):
+        for b in lines[i + 1 :]:
+            if len(b) > len(a) + line_dedup.EDITS:
+                break
+            if line_dedup.within(a, b, line_dedup.EDITS):
+                near.append((a, b))
+    comp, seen, want = components(near), set(), {}
+    for i, t in rows:
+        kept = []
+        for x in t.split("\n"):
+            if len(x) >= line_dedup.LEAST and re.search(r"[^\x20\x09-\x0D]", x):
+                if (c := comp.get(x, x)) in seen:
+                    continue
+                seen.add(c)
+            kept.append(x)
+        if len(kept) == t.count("\n") + 1 or re.search(r"[^\x20\x09-\x0D]", "\n".join(kept)):
+            want[i] = "\n".join(kept)
+    assert {r["doc_id"]: r["text"] for r in cp.lines(spark, docs, sf).collect()} == want
+    alone = {i for i, _, c in brute(rows) if i == c}
+    assert {r["doc_id"] for r in cp.jaccard(spark, docs, sf).collect()} == alone
