@@ -5,6 +5,10 @@ histogram of classes is a demand, a sequence a roll of 2048 / GRAIN steps. A lin
 of each class a sequence takes) is solved by the revised simplex method; a knapsack by dynamic programming prices the next
 column. Rounded-down pattern counts, and first-fit patterns for what the rounding leaves, are dealt to the pieces by their
 rank in their class. The driver has the histogram and the patterns, whose sizes depend on 2048 and GRAIN alone.
+
+Lengths that go badly with all others, such as very many of just over half a sequence, are cut once more, into binary parts:
+1024, 512, 256, 128 and 64 tokens where they are in the length, and what is under 64. Which classes are cut follows from the
+patterns' waste; the parts' checksums come from the one pass over the texts.
 """
 
 from __future__ import annotations
@@ -21,7 +25,14 @@ from echolattice.llm.tokens import ByteLevel, encoder
 
 LENGTH, GRAIN, END_ID = 2048, 8, 1
 #: Pieces of a class that one task ranks, about.
-RANKED = 50_000
+RANKED = 1_000
+#: Binary parts in steps of PART tokens, largest first; share of padding at which no more classes are cut.
+PART, BITS, WASTE = 64, (16, 8, 4, 2, 1), 0.004
+
+
+def part_lengths(length: int) -> list[int]:
+    """Binary parts of a length under 2048."""
+    return [PART * b for b in BITS if length // PART & b] + ([length % PART] if length % PART else [])
 
 
 def price(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -119,6 +130,37 @@ def plan(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[np.ndar
     return out
 
 
+def plan_with_cuts(sizes: np.ndarray, demand: np.ndarray, room: int, grain: int, waste: float = WASTE) -> tuple[list[int], np.ndarray, list[tuple[np.ndarray, int]]]:
+    """Classes that are cut into binary parts, all classes after that, and the patterns for them.
+
+    In each round the classes that stand for most of the unfilled steps of patterns, half of them in all, are cut.
+    """
+    cut: list[int] = []
+    while True:
+        want: dict[int, int] = {}
+        for c, n in zip(sizes.tolist(), demand.tolist(), strict=True):
+            for x in part_lengths(c * grain) if c in cut else [c * grain]:
+                want[x // grain] = want.get(x // grain, 0) + n
+        own = np.array(sorted(want), np.int64)
+        patterns = plan(own, np.array([want[c] for c in own.tolist()], np.int64), room)
+        total = int(sizes @ demand)
+        spare = {}
+        for column, n in patterns[:-1]:  # the last may be what nothing is left to fill
+            free = room - int(own @ column)
+            for k in np.flatnonzero(column):
+                c = int(own[k])
+                if c not in cut and c in sizes and c < room and len(part_lengths(c * grain)) > 1:
+                    spare[c] = spare.get(c, 0) + free * n * int(column[k]) * c / room
+        if sum(n * (room - int(own @ x)) for x, n in patterns) <= waste * total + room or not spare:
+            return cut, own, patterns
+        most, part = sum(spare.values()), 0.0
+        for c in sorted(spare, key=lambda c: -spare[c]):
+            cut.append(c)
+            part += spare[c]
+            if part >= most / 2:
+                break
+
+
 class Places:
     """Sequence of the piece of a rank in its class, by the intervals of ranks that each pattern takes."""
 
@@ -146,7 +188,10 @@ class Places:
 
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens of every piece, from one pass over docs(doc_id, text); a null text is empty."""
+    """doc_id, start, length, ids_crc32, doc_tokens of every piece, and parts, the checksums of its binary parts (none of a full one).
+
+    One pass over docs(doc_id, text); a null text is empty.
+    """
     ship(docs.sparkSession)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
@@ -163,14 +208,25 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
                 start = (np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)) * length
                 size = np.minimum(n[doc] - start, length)
                 raw, tail = memoryview(flat.astype("<u4").tobytes()), np.array([end_id], "<u4").tobytes()
-                crc = []
-                for a, z, last in zip((ends[doc] + start).tolist(), (ends[doc] + start + size).tolist(), (start + size == n[doc]).tolist(), strict=True):
+
+                def checksum(a: int, z: int, last: bool) -> int:
                     c = zlib.crc32(raw[4 * a : 4 * (z - last)])
-                    crc.append(zlib.crc32(tail, c) if last else c)
+                    return zlib.crc32(tail, c) if last else c
+
+                crc, parts = [], []
+                for a, k, last in zip((ends[doc] + start).tolist(), size.tolist(), (start + size == n[doc]).tolist(), strict=True):
+                    crc.append(checksum(a, a + k, last))
+                    own = []
+                    if k < length:
+                        at = a
+                        for x in part_lengths(k):
+                            own.append(checksum(at, at + x, last and at + x == a + k))
+                            at += x
+                    parts.append(own)
                 ids = keys.slice(i, rows).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (start, size, crc, n[doc]))], names=names)
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (start, size, crc, n[doc])), pa.array(parts, pa.list_(pa.int64()))], names=[*names, "parts"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, ", ".join(f"{x} long" for x in names))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, ", ".join(f"{x} long" for x in names) + ", parts array<long>")
 
 
 def pack(docs: DataFrame, path: str, scratch: Scratch, length: int = LENGTH, grain: int = GRAIN, end_id: int = END_ID) -> DataFrame:
@@ -179,13 +235,23 @@ def pack(docs: DataFrame, path: str, scratch: Scratch, length: int = LENGTH, gra
     Null and empty texts are the end id alone; rows that repeat a doc_id are documents of their own; an empty table gives
     no rows; other columns of docs are ignored.
     """
-    held = scratch.write(pieces(docs, path, length, end_id).withColumn("_class", F.ceil(F.col("length") / grain).cast("int")))
-    sizes = held.groupBy("_class").agg(F.count("*").alias("n")).orderBy("_class").collect()  # at most length / grain rows
+    steps = F.ceil(F.col("length") / grain).cast("int")
+    whole = scratch.write(pieces(docs, path, length, end_id).withColumn("_class", steps))
+    sizes = whole.groupBy("_class").agg(F.count("*").alias("n")).orderBy("_class").collect()  # at most length / grain rows
     room = length // grain
-    size, demand = np.array([r["_class"] for r in sizes], np.int64), np.array([r["n"] for r in sizes], np.int64)
-    places = Places(size, plan(size, demand, room))
+    cut, size, patterns = plan_with_cuts(np.array([r["_class"] for r in sizes], np.int64), np.array([r["n"] for r in sizes], np.int64), room, grain)
+    places = Places(size, patterns)
+    bits = F.filter(F.array(*map(F.lit, BITS)), lambda b: F.floor(F.col("length") / PART).bitwiseAND(b) > 0)
+    rest = F.col("length") % PART
+    binary = F.concat(F.transform(bits, lambda b: (b * PART).cast("long")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
+    parts = whole.where(F.col("_class").isin(cut)).withColumn("_binary", binary)
+    parts = parts.select("*", F.posexplode("_binary").alias("_k", "_size"))
+    ahead = F.aggregate(F.slice("_binary", 1, F.col("_k")), F.lit(0).cast("long"), lambda a, x: a + x)
+    parts = parts.select("doc_id", (F.col("start") + ahead).alias("start"), F.col("_size").alias("length"), F.get("parts", F.col("_k")).alias("ids_crc32"), "doc_tokens").withColumn("_class", steps)
+    held = whole.where(~F.col("_class").isin(cut)).drop("parts").unionByName(parts) if cut else whole.drop("parts")
+    demand = {c: sum(int(x[k]) * n for x, n in patterns) for k, c in enumerate(size.tolist())}
     # Ranks in a class: by bucket, then in the bucket, so that a class of any size is ranked by many tasks.
-    buckets = max(1, -(-int(demand.max()) // RANKED)) if len(demand) else 1
+    buckets = max(1, -(-max(demand.values(), default=1) // RANKED))
     order = ["doc_id", "start", "doc_tokens", "ids_crc32"]
     dealt = held.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     own = Window.partitionBy("_class", "_bucket")
