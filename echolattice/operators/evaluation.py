@@ -106,10 +106,12 @@ def score_vectors(items: DataFrame, pairs, k: int = 10, decimals: int | None = 6
     task scores blocks of queries by one matrix product each; nothing is shuffled but the queries' ids. Else pairs(items)
     makes the pair table. decimals: distances are rounded to so many before they are ranked; None takes them as float32.
     """
+    items = items.select("item_idx", "label", "vec").persist()  # vectors may be costly, and are asked for twice
     n, dims = items.agg(F.count("*"), F.max(F.size("vec"))).first()
     if n * (dims or 0) * 8 > BROADCAST_BYTES:
         return score_queries(pairs(items), k)
-    t = items.select("item_idx", "label", "vec").orderBy("item_idx").toArrow()
+    t = items.orderBy("item_idx").toArrow()
+    items.unpersist()
     labels = np.asarray(t.column("label").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False))
     ids, x = t.column("item_idx").to_numpy(), np.asarray(t.column("vec").combine_chunks().flatten(), np.float64).reshape(n, -1)
     norm = np.sqrt(np.einsum("ij,ij->i", x, x))
