@@ -34,7 +34,8 @@ def plain_rules(rows):
 def test_rules(spark, docs, corpus, scratch, tmp_path):
     boiler = "All rights reserved by nobody in particular"
     more = [(5000 + k, f"{boiler}\n{boiler.upper()}  \nw{k} " + "x y z " * 5 if k % 2 else f"{boiler}\n" + " ".join(f"v{k}_{j}" for j in range(80)), "en", "src0", 1) for k in range(60)]
-    more += [(6000 + k, f"{boiler}\n" * 9 + " ".join(f"u{k}_{j}" for j in range(3)), "en", "src0", 1) for k in range(10)]
+    site = "\n".join(" ".join(f"b{i}_{j}" for j in range(8)) for i in range(9))
+    more += [(6000 + k, f"{site}\n" + " ".join(f"u{k}_{j}" for j in range(3)), "en", "src0", 1) for k in range(20)]
     rows = [*corpus, *more]
     spark.createDataFrame(rows, DOCS).withColumn("kept", F.lit(3)).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     got = qr.op9_line_frequency(spark, str(tmp_path)).collect()
@@ -54,15 +55,17 @@ def test_no_rows(no_docs, scratch, spark):
 
 
 def test_classifier_on_held_out_labels(spark, scratch):
-    """Fitted on half of the labels, held against the other half."""
-    sf = "/root/testdata/sf0.01"
+    """Fitted on half of the labels, held against the other half, as rejection and as ranking."""
+    sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     seen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
     got = qc.classify(docs, seen, scratch).join(labels.join(seen, "doc_id", "left_anti"), "doc_id").select("quality", "kept", "score").collect()
     good, bad = [r for r in got if r["quality"]], [r for r in got if not r["quality"]]
     assert len(good) > 100 and len(bad) > 10
     assert sum(r["kept"] for r in good) / len(good) > 0.98
+    print(sum(r["kept"] for r in good) / len(good), sum(not r["kept"] for r in bad) / len(bad), sum(r["score"] < 0.5 for r in bad) / len(bad))
     assert sum(not r["kept"] for r in bad) / len(bad) > 0.9
+    assert sum(r["score"] < 0.5 for r in bad) / len(bad) > 0.97
 
 
 def test_classifier_without_classes(spark, docs, scratch):
