@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from echolattice.functions.sequences import is_finite, rank_key
+from echolattice.functions.workers import ship
 
 #: A matrix of at most so many bytes is sent to every executor; a larger one goes through the pair table.
 BROADCAST_BYTES = 128 << 20
@@ -106,6 +107,7 @@ def score_vectors(items: DataFrame, pairs, k: int = 10, decimals: int | None = 6
     task scores blocks of queries by one matrix product each; nothing is shuffled but the queries' ids. Else pairs(items)
     makes the pair table. decimals: distances are rounded to so many before they are ranked; None takes them as float32.
     """
+    ship(items.sparkSession)
     items = items.select("item_idx", "label", "vec").persist()  # vectors may be costly, and are asked for twice
     n, dims = items.agg(F.count("*"), F.max(F.size("vec"))).first()
     if n * (dims or 0) * 8 > BROADCAST_BYTES:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echolattice.functions import sequences as seq
+from echolattice.functions.workers import ship
 from echolattice.operators import collections as col
 from echolattice.operators import evaluation, ftm2d, learned, qmax, similarity
 from echolattice.plans import fixtures, registry
@@ -206,9 +207,8 @@ def global_profile(spark, sf_dir):
 
 @query("oti_pairs", S.chain(S.DENSE, S.PROFILE, S.OTI) + "SELECT a AS query_idx, b AS item_idx, steps FROM oti WHERE a < b")
 def oti_pairs(spark, sf_dir):
-    items = fixtures.performances(spark, sf_dir).select("item_idx", "label", seq.profile(F.col("frames")).alias("p"))
-    pairs = similarity.upper_pairs(items, "p")
-    return pairs.select("query_idx", "item_idx", seq.optimal_transposition(F.col("query_p"), F.col("item_p")).alias("steps"))
+    items = fixtures.performances(spark, sf_dir).select("item_idx", "label", seq.profile(F.col("frames")).alias("vec"))
+    return similarity.transposition_pairs(items)
 
 
 @query("sliding_patches", S.chain(S.DENSE, S.PATCHES) + "SELECT perf_id, patch, count(DISTINCT t) AS n_frames, round(sum(x), 6) AS total FROM patches GROUP BY ALL")
@@ -367,6 +367,7 @@ def crp_density(spark, sf_dir):
     import numpy as np
     import pandas as pd
 
+    ship(spark)
     items = _sequences(spark, sf_dir).select("item_idx", "label", F.flatten("states").alias("s"), F.size("states").alias("n"))
     pairs = similarity.upper_pairs(items, "s", "n")
 

@@ -1,0 +1 @@
+"""The survey of what this covers has no stream; its windows count frames of finished sequences (functions/sequences.py)."""
