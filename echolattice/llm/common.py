@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echolattice.functions.workers import ship as ship
+
 #: Rows of (at most) three numbers; a broadcast table of that many stays near 50 MB on an executor.
 BROADCAST_ROWS = 200_000
 
@@ -20,14 +20,6 @@ _LOCAL: dict[str, str] = {}
 _LEFT: list[tuple[SparkSession, str]] = []
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from the folder the driver imported it from."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a folder of this process where it is unset."""
     d = spark.conf.get("spark.checkpoint.dir", None)
