@@ -221,8 +221,9 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: in
     named = scratch.write(held.join(small(scratch.write(classes)), "line", "left").select("d", "t", "at", F.coalesce("class", "line").alias("class")))
     scratch.drop(held)
     place = F.struct("d", "t", "at")
-    firsts = named.groupBy("class").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("class", "first")
-    gone = named.join(firsts, "class").where(place != F.col("first")).groupBy("d", "t").agg(F.collect_set("at").alias("_gone"))
+    # Written, so that the join with a class that very many lines have is one that adaptive execution can split.
+    firsts = scratch.write(named.groupBy("class").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("class", "first"))
+    gone = named.join(small(firsts, 50_000), "class").where(place != F.col("first")).groupBy("d", "t").agg(F.collect_set("at").alias("_gone"))
     gone = scratch.write(gone)
     keyed_docs = docs.select(F.struct(*names).alias("_row"), key.alias("_key")).select("_row", "_key.d", "_key.t")
     out = keyed_docs.join(small(gone, 20_000), ["d", "t"], "left").select("_row", F.split("_row.text", "\n").alias("_all"), "_gone")
