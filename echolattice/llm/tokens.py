@@ -134,7 +134,11 @@ class WordLevel:
         """Ids of the words that were noted."""
         words, self.at.new = self.at.new, []
         first = len(self.at) - len(words)
-        plain = np.fromiter(((w.isascii() or max(w) < self.BEYOND_LATIN) and self.MARK not in w and len(w) < 1000 for w in words), bool, len(words))
+        text = self.MARK.join(words)
+        if max(text) < self.BEYOND_LATIN and text.count(self.MARK) == len(words) - 1 and max(map(len, words)) < 1000:
+            plain = np.ones(len(words), bool)
+        else:
+            plain = np.fromiter((max(w) < self.BEYOND_LATIN and self.MARK not in w and len(w) < 1000 for w in words), bool, len(words))
         latin, n = np.flatnonzero(plain), np.zeros(len(words), np.int64)
         parts = []
         if len(latin):
