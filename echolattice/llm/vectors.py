@@ -18,7 +18,7 @@ from echolattice.llm.common import Scratch, connected_components, min_labels, ru
 
 COSINE = 0.98
 #: Vectors of a block, about; pivots of a label at most; vectors of a leaf.
-BLOCK, PIVOTS, LEAF = 1024, 64, 48
+BLOCK, PIVOTS, LEAF = 1024, 64, 16
 #: Room for rounding in the bounds; links themselves are decided by the cosine.
 SLACK = 1e-7
 
