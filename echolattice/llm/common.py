@@ -11,15 +11,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolattice.functions.workers import ship as ship
+from echolattice.functions import workers
 
 #: Rows of (at most) three numbers; a broadcast table of that many stays near 50 MB on an executor.
 BROADCAST_ROWS = 200_000
 
+#: Bytes of an Arrow batch, about: texts and blocks are long, and a batch is held by the executor and by its worker.
+BATCH_BYTES = 8 << 20
+
 _LOCAL: dict[str, str] = {}
 _LEFT: list[tuple[SparkSession, str]] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Make workers ready for this package's functions, and the session's Arrow batches small if they are at their default."""
+    workers.ship(spark)
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size, f"{64 << 20}b") == f"{64 << 20}b":
+        spark.conf.set(size, f"{BATCH_BYTES}b")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a folder of this process where it is unset."""
     d = spark.conf.get("spark.checkpoint.dir", None)
@@ -51,6 +62,7 @@ class Scratch:
     """Tables in the shared folder. They cut lineage, so that a lost executor costs its tasks and not the plan."""
 
     def __init__(self, spark: SparkSession, what: str):
+        ship(spark)
         self.spark, self.path = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
         self.n = 0
         _LEFT.append((spark, self.path))
