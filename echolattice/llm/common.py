@@ -91,6 +91,10 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 # ---- connected components -------------------------------------------------------------------------------------
 
 
+#: Edges that one task contracts at once, about: 8 MB, and some 100 MB while it does.
+RUN = 500_000
+
+
 def min_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes of the edges, and the smallest node each can reach."""
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
@@ -108,40 +112,48 @@ def min_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lab = new
 
 
-def _contract(batches):
+def _contract(run: int):
     """Replace the edges of each run of batches by a star on each component's smallest node: never more edges than came in."""
-    held, n = [], 0
-
-    def flush():
-        t = pa.Table.from_batches(held)
-        nodes, lab = min_labels(t.column(0).to_numpy(), t.column(1).to_numpy())
-        keep = nodes != lab
-        return pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(lab[keep])], names=["u", "v"])
 
-    for b in batches:
-        if b.num_rows:
-            held.append(b)
-            n += b.num_rows
-        if n >= 500_000:
+    def stars(batches):
+        held, n = [], 0
+
+        def flush():
+            t = pa.Table.from_batches(held)
+            nodes, lab = min_labels(t.column(0).to_numpy(), t.column(1).to_numpy())
+            keep = nodes != lab
+            return pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(lab[keep])], names=["u", "v"])
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= run:
+                yield flush()
+                held, n = [], 0
+        if held:
             yield flush()
-            held, n = [], 0
-    if held:
-        yield flush()
+
+    return stars
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 200) -> DataFrame:
     """(node, component) for every node that an edge (a, b: long, not null) touches; component is the smallest reachable node.
 
-    Alternating large-star and small-star rounds, each written to the shared folder. Nodes without edges aren't returned.
+    Runs of edges of bounded size are contracted in tasks of their own; if there is more than one run, alternating large-star
+    and small-star rounds follow, each written to the shared folder. Nodes without edges aren't returned.
     Edges, nodes and components stay on the executors; the driver sees one count and one checksum a round. A node that is
     the hub of most edges is a minimum under partial aggregation, and its join is one that adaptive execution can split.
     """
     a, b = (F.col(c) for c in edges.columns[:2])
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
-    cur = scratch.write(e.mapInArrow(_contract, "u long, v long").distinct())
+    e = scratch.write(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v"))
+    count = e.count()
+    one = e.coalesce(max(1, -(-count // RUN))).mapInArrow(_contract(2 * RUN), "u long, v long")
+    cur = scratch.write(one if count <= RUN else one.distinct())
+    scratch.drop(e)
     mark = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     seen = mark(cur)
-    for _ in range(rounds if seen[0] else 0):
+    for _ in range(rounds if count > RUN else 0):  # what one run has contracted is done
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         big = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -155,7 +167,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 200)
             break
         seen = now
     else:
-        if seen[0]:
+        if count > RUN:
             raise RuntimeError("components did not settle")
     roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

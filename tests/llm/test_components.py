@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from echolattice.llm import common
 from echolattice.llm.common import candidates, connected_components, keyed, min_labels
 
 
@@ -23,7 +25,10 @@ def test_min_labels():
     assert dict(zip(nodes.tolist(), label.tolist(), strict=True)) == components(e.tolist())
 
 
-def test_components(spark, scratch):
+@pytest.mark.parametrize("run", [500_000, 100])
+def test_components(spark, scratch, monkeypatch, run):
+    """With one run, and with star rounds over many."""
+    monkeypatch.setattr(common, "RUN", run)
     rng = np.random.default_rng(2)
     chain = [(i, i + 1) for i in range(1000, 1400)]
     star = [(5000, 5001 + i) for i in range(500)]
