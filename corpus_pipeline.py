@@ -1,4 +1,10 @@
-"""The corpus pipeline: documents to packed sequences, in five stages of the corpus operators."""
+"""The corpus pipeline: documents to packed sequences, in five stages of the corpus operators.
+
+Null and empty texts are judged by the classifier like others, pass the line and the Jaccard stage, cost nothing where sources
+are mixed, and are packed as their end id. Rows without doc_id have no near-duplicates. Rows that repeat a doc_id and a text
+are one document to the first three stages and are kept or dropped alike. Other columns are carried to the last stage. An
+empty table stays empty; without labels of both kinds no document is rejected.
+"""
 
 from __future__ import annotations
 
