@@ -65,17 +65,14 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pad.reshape(-1)[:n] = bit_lengths(ids)
     choice = _choices(pad).reshape(-1)
     ends = np.minimum((np.arange(blocks) + 1) * BLOCK, n)
-    at, live, places, owners = np.arange(blocks) * BLOCK, np.arange(blocks), [], []
-    while len(live):  # one word of every block in each step
-        places.append(at)
-        owners.append(live)
+    at, starts = np.arange(blocks) * BLOCK, np.zeros(n, bool)
+    while len(at):  # one word of every block in each step
+        starts[at] = True
         at = at + COUNTS[choice[at]]
-        more = at < ends[live]
+        more = at < ends
         if not more.all():
-            at, live = at[more], live[more]
-    places, owners = np.concatenate(places), np.concatenate(owners)
-    order = np.argsort(places, kind="stable")
-    places, owners = places[order], owners[order]
+            at, ends = at[more], ends[more]
+    places = np.flatnonzero(starts)
     sel = choice[places]
     size = 1 + (sel == ESCAPE)
     to = np.cumsum(size) - size
@@ -91,7 +88,7 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             for k in range(COUNTS[s]):
                 w |= ids[places[own] + k] << np.uint64(k * WIDTHS[s])
         words[to[own]] = w
-    first = to[np.searchsorted(owners, np.arange(blocks))]
+    first = to[np.searchsorted(places, np.arange(blocks) * BLOCK)]
     return words, first
 
 
