@@ -1,7 +1,7 @@
 """Personal data: regular expressions propose spans, checksums confirm them, words nearby adjust their score.
 
 All patterns are written so that a scan is linear in the text: a run that can't match is passed over once, by possessive
-quantifiers and by starting only where a run of the pattern's characters starts.
+quantifiers and by starting only where a run of the pattern's characters starts; an IBAN's run is bounded instead.
 """
 
 from __future__ import annotations
@@ -33,7 +33,18 @@ _DIGIT = re.compile(r"[0-9]")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of an IBAN by its country, as registered.
+_IBAN_CHARS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 
 
 def luhn(digits: str) -> bool:
@@ -61,6 +72,22 @@ def _emails(text: str):
             at = text.find("@", at + 1)
 
 
+def _ibans(text: str):
+    """Spans whose mod 97 holds: of a run, which may go on into words and numbers behind, the country's length, else all of it."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        start, end = m.span()
+        at = start + 4
+        places = [k for k in range(start, end) if text[k] != " "]
+        n = _IBAN_CHARS.get(text[start : start + 2], len(places))
+        own = places[n - 1] + 1 if n <= len(places) else end
+        for e in (own, end):
+            if (e == end or text[e] == " ") and mod97(text[start:e].replace(" ", "")):
+                yield start, e
+                at = e
+                break
+
+
 def find(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) of every confirmed span, by kind as listed in KINDS, then by start. Code points, end exclusive."""
     out = []
@@ -74,7 +101,7 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
                 out.append(("card", *m.span()))
         if "+" in text:
             out += [("phone", *m.span()) for m in _PHONE.finditer(text) if 8 <= sum(map(str.isdigit, m.group())) <= 15]
-        out += [("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m.group().replace(" ", ""))]
+        out += [("iban", a, b) for a, b in _ibans(text)]
     return [(k, a, b, SCORES[k] + CONTEXT_ADDS * bool(_NEAR[k].search(text, max(0, a - CONTEXT_CHARS), a))) for k, a, b in out]
 
 

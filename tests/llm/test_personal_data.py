@@ -41,6 +41,16 @@ def test_iban_and_context():
     assert pd.redact("write to a.b@c.de or +1 (988) 555-2485!") == "write to [email] or [phone]!"
 
 
+def test_iban_before_other_words():
+    for code in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"):
+        for behind in ("", " Please pay", " The bank", " 2024", " IBAN", " 2024 IBAN OK", " DE88 3704", "."):
+            for before in ("", "AB12 ", "AB12 3456 "):
+                assert [s[:3] for s in pd.find(before + code + behind) if s[0] == "iban"] == [("iban", len(before), len(before + code))]
+    two = "DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32"
+    assert [two[a:b] for k, a, b, _ in pd.find(two) if k == "iban"] == [two[:27], two[28:]]
+    assert not [s for s in pd.find("DE88370400440532013000 Please pay, DE89370400440532013000X") if s[0] == "iban"]
+
+
 def test_linear_on_long_runs():
     for t in ("a" * 300_000 + "@", "1" * 300_000, "1." * 150_000, "+1" + "(" * 300_000, "1 " * 150_000, "A" * 300_000, "a@" * 100_000, "-" * 300_000 + "@-"):
         pd.find(t)
