@@ -148,13 +148,16 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE
     ship(spark)
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), F.col("label").cast("string"))
     usable = f"vec_id is not null and label is not null and embedding is not null and not {_NAN} and exists(embedding, x -> x <> 0)"
-    held = scratch.write(rows.where(usable).withColumn("key", F.struct("label", F.size("embedding").alias("dims"))))
+    once = rows.where(usable).distinct()  # repeated rows count once, or a key of few vectors may draw no pivot
+    held = scratch.write(once.withColumn("key", F.struct("label", F.size("embedding").alias("dims"))))
     sizes = held.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     # Pivots of a key: those of least hash, one for each BLOCK of its vectors, PIVOTS at most.
     hashed = held.join(sizes, "key").withColumn("h", F.xxhash64("vec_id", "embedding"))
     wanted = F.expr(f"h <= -9223372036854775807L + cast(18446744073709551614D * least(1D, {4 * PIVOTS}D / n) as decimal(20, 0))")
     sample = hashed.where(wanted).groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct("h", "embedding"))), 1, PIVOTS).alias("p"), F.first("n").alias("n"))
-    pivots = scratch.write(sample.select("key", "n", F.expr(f"transform(slice(p, 1, cast(least({PIVOTS}, ceil(n / {BLOCK})) as int)), x -> x.embedding)").alias("pivots")))
+    drawn = sample.select("key", F.expr(f"transform(slice(p, 1, cast(least({PIVOTS}, ceil(n / {BLOCK})) as int)), x -> x.embedding)").alias("pivots"))
+    # A key without a pivot has an empty list, and is one cell.
+    pivots = scratch.write(sizes.join(drawn, "key", "left").select("key", F.coalesce("pivots", F.expr("cast(array() as array<array<double>>)")).alias("pivots")))
 
     @F.pandas_udf("int")
     def nearest(x, p):
@@ -162,8 +165,8 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE
 
         out = []
         for v, ps in zip(x, p, strict=True):
-            m = np.stack(ps)
-            out.append(int(((m @ v) / np.linalg.norm(m, axis=1)).argmax()) if len(m) > 1 else 0)
+            m = np.stack(ps) if len(ps) > 1 else None
+            out.append(0 if m is None else int(((m @ v) / np.linalg.norm(m, axis=1)).argmax()))
         return pd.Series(out)
 
     celled = scratch.write(held.join(small(pivots, 2_000), "key").select("key", "vec_id", "embedding", F.when(F.size("pivots") > 1, nearest("embedding", "pivots")).otherwise(0).alias("cell")))

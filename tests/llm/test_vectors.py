@@ -48,6 +48,23 @@ def test_against_all_pairs(spark, scratch, rows, monkeypatch, block):
     assert len(got) == len({r[0] for r in rows})
 
 
+def test_repeated_rows_keep_their_links(spark, scratch):
+    """Few different vectors in very many rows: each label has a pivot, or is one cell."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for label in range(20):
+        v = rng.normal(size=8)
+        rows += [(10 * label + k, np.float32(v + 0.001 * k).tolist(), label, "x") for k in range(2)] * 500
+    got = vectors.near_duplicates(spark.createDataFrame(rows, ROWS), scratch).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got} == {(10 * label + k, 1, 10 * label) for label in range(20) for k in range(2)}
+
+
+def test_key_without_pivot(spark, scratch, monkeypatch):
+    monkeypatch.setattr(vectors, "PIVOTS", 0)
+    got = vectors.near_duplicates(spark.createDataFrame([(k, [1.0, 0.001 * k], 1, "x") for k in range(3)], ROWS), scratch).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got} == {(k, 2, 0) for k in range(3)}
+
+
 def test_empty(spark, scratch):
     assert vectors.near_duplicates(spark.createDataFrame([], ROWS), scratch).count() == 0
 
