@@ -2,7 +2,8 @@
 
 Two short cuts give the ids of the tokenizers library at a fraction of its time, and a test holds them against it:
 a byte-level vocabulary is run by tiktoken on the merges of the same file, and where white space separates and is dropped,
-each different word is encoded once and its ids are looked up.
+each different word is encoded once and its ids are looked up. Texts that hold the string of an added token, which the
+library gives that token's id, go to it whole.
 """
 
 from __future__ import annotations
@@ -29,12 +30,20 @@ class _Library:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
 
     def __call__(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
+def _added(path: str) -> list[str]:
+    """Strings of the file's added tokens; they are found in the text as it stands."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t["normalized"] for t in tokens):
+        raise ValueError(f"{path} has added tokens that are found in the normalised text")
+    return [t["content"] for t in tokens]
+
+
 class ByteLevel:
     """A byte-level vocabulary with the usual pattern."""
 
@@ -47,9 +56,12 @@ class ByteLevel:
         alphabet = _byte_alphabet()
         ranks = {bytes(alphabet[c] for c in t): i for t, i in vocab.items() if all(c in alphabet for c in t) and t != "<|endoftext|>"}
         self.core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.path, self.library = path, None
+        self.path, self.library, self.added = path, None, _added(path)
 
     def one(self, text: str) -> np.ndarray:
+        if any(x in text for x in self.added):
+            self.library = self.library or _Library(self.path)
+            return self.library(text)
         try:
             return self.core.encode_to_numpy(text, disallowed_special=())
         except BaseException as e:  # the pattern engine gives up (it panics) on very long runs of one kind of character
@@ -93,7 +105,7 @@ class WordLevel:
         import regex
         import tiktoken
 
-        self.library = _Library(path)
+        self.library, self.added = _Library(path), _added(path)
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         alphabet, ranks = _byte_alphabet(), {}
@@ -161,7 +173,7 @@ class WordLevel:
             self.used += len(ids)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """str.split also splits at four control characters that are no white space to the library; texts with them go to it whole."""
+        """str.split also splits at four control characters that are no white space to the library; texts with them, or with an added token, go to it whole."""
         ids, counts = [], np.zeros(len(texts) + 1, np.int64)
         i = 0
         while i < len(texts):
@@ -169,7 +181,7 @@ class WordLevel:
             j = i
             while j < len(texts) and (chars < 2_000_000 or j == i):
                 t = texts[j]
-                odd = any(c in t for c in "\x1c\x1d\x1e\x1f")
+                odd = any(c in t for c in ("\x1c", "\x1d", "\x1e", "\x1f", *self.added))
                 lists.append(None if odd else t.split())
                 chars += len(t)
                 j += 1

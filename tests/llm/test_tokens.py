@@ -22,6 +22,18 @@ def test_like_the_library(kind, texts):
     assert [ids[a:b].tolist() for a, b in zip(off, off[1:], strict=False)] == [library(t).tolist() for t in texts]
 
 
+@pytest.mark.parametrize("kind", list(KINDS))
+def test_added_tokens(kind):
+    """Against the library as it comes from the file."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(KINDS[kind])
+    texts = ["one <|endoftext|> two", "plain", "<|startoftext|>x", "a<|endoftext|>b<|endoftext|>", "<|ENDOFTEXT|> <|endof text|>", "<|endoftext|>\x1c", "one"]
+    ids, off = HELD[kind][0](texts)
+    assert [ids[a:b].tolist() for a, b in zip(off, off[1:], strict=False)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert plain.token_to_id("<|endoftext|>") in ids
+
+
 @pytest.mark.parametrize("kind", list(KINDS))
 def test_long_words(kind):
     own, library = HELD[kind]
