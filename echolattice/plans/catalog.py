@@ -5,13 +5,14 @@ Distances are rounded to 6 decimals before they are ranked, so that sums in anot
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echolattice.functions import sequences as seq
-from echolattice.functions.workers import ship
+from echolattice.functions.workers import shared_dir, ship
 from echolattice.operators import collections as col
 from echolattice.operators import evaluation, ftm2d, learned, qmax, similarity
 from echolattice.plans import fixtures, registry
@@ -136,12 +137,8 @@ def split_json_roundtrip(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession, what: str) -> str:
-    """A folder in the one that driver and executors share."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="echolattice-")
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A new folder in the one that driver and executors share."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 # ---- pair distances of the methods ----------------------------------------------------------------------------
