@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
+import contextlib
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echolattice.functions import workers
@@ -19,7 +19,6 @@ BROADCAST_ROWS = 200_000
 #: Bytes of an Arrow batch, about: texts and blocks are long, and a batch is held by the executor and by its worker.
 BATCH_BYTES = 8 << 20
 
-_LOCAL: dict[str, str] = {}
 _LEFT: list[tuple[SparkSession, str]] = []
 
 
@@ -31,18 +30,6 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set(size, f"{BATCH_BYTES}b")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of this process where it is unset."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        app = spark.sparkContext.applicationId
-        if app not in _LOCAL:
-            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="echolattice-")
-            spark.sparkContext.setCheckpointDir(_LOCAL[app])
-        d = _LOCAL[app]
-    return d.rstrip("/")
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -52,10 +39,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 @atexit.register
 def _clean() -> None:
     for spark, path in _LEFT:
-        try:
+        with contextlib.suppress(Exception):  # the session may be gone at exit; nothing depends on the folder any more
             _delete(spark, path)
-        except Exception:  # the session may be gone at exit; nothing depends on the folder any more
-            return
 
 
 class Scratch:
@@ -63,7 +48,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, what: str):
         ship(spark)
-        self.spark, self.path = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+        self.spark, self.path = spark, f"{workers.shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
         self.n = 0
         _LEFT.append((spark, self.path))
 
@@ -88,6 +73,22 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def fresh(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores ahead where a column (whatever its case) has the name already."""
+    used, out = {c.lower() for c in taken}, []
+    for n in wanted:
+        while n.lower() in used:
+            n = "_" + n
+        used.add(n.lower())
+        out.append(n)
+    return out
+
+
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by names that may hold dots or back-ticks."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 # ---- connected components -------------------------------------------------------------------------------------
 
 

@@ -20,31 +20,44 @@ LINE_DOCS, LINE_SHARE = 10, 0.02
 REMAIN = 0.5
 
 
-def repeated_words(words: str) -> tuple[Column, Column]:
+def repeated_words(words: str, hash_bits: int = 64) -> tuple[Column, Column]:
     """Expressions that count the words in 3-word windows found twice or more, over an array column.
 
-    The first makes sorted 64-bit words of a window's hash and, in the low bits, its place; the second, over a column
-    `_wins` of them, compares neighbours by their words and adds up the places that the found windows cover.
+    The first makes sorted 64-bit words of as much of a window's hash as there is room for and, in the low bits, its place.
+    The second, over a column `_wins` of them, compares neighbours by their words and adds up the places that the found
+    windows cover. Where neighbours of one hash differ in their words, other equal windows may lie between them: then the
+    windows are sorted by hash and words instead, so that equal ones are neighbours whatever the hashes are.
+    hash_bits: a narrower hash, for tests.
     """
-    bits = f"if(size({words}) <= 131072, 17, 27)"
-    wins = F.expr(f"if(size({words}) < 3, array(), sort_array(transform(sequence(0, size({words}) - 3), i -> shiftleft(xxhash64({words}[i], {words}[i + 1], {words}[i + 2]), {bits}) | cast(i as bigint))))")
+    n = f"size({words})"
+    bits = f"case when {n} <= 131072 then 17 when {n} <= 16777216 then 24 else 31 end"
     mask = f"(shiftleft(1L, {bits}) - 1)"
+    full = f"(xxhash64({words}[i], {words}[i + 1], {words}[i + 2]) & {(1 << hash_bits) - 1 if hash_bits < 64 else -1}L)"
+    wins = F.expr(f"if({n} < 3, array(), sort_array(transform(sequence(0, {n} - 3), i -> shiftleft({full}, {bits}) | cast(i as bigint))))")
+
+    def alike(a: str, b: str) -> str:
+        return f"(shiftright({a}, {bits}) = shiftright({b}, {bits}))"
 
     def same(a: str, b: str) -> str:
         at = [f"{words}[cast(({x}) & {mask} as int) + {j}]" for j in range(3) for x in (a, b)]
-        return f"(shiftright({a}, {bits}) = shiftright({b}, {bits}) and {at[0]} = {at[1]} and {at[2]} = {at[3]} and {at[4]} = {at[5]})"
-
-    found = f"filter(_wins, (x, k) -> (k > 0 and {same('x', '_wins[k - 1]')}) or (k < size(_wins) - 1 and {same('x', '_wins[k + 1]')}))"
-    places = f"sort_array(transform({found}, x -> cast(x & {mask} as int)))"
+        return f"({at[0]} = {at[1]} and {at[2]} = {at[3]} and {at[4]} = {at[5]})"
+
+    mixed = f"size(filter(_wins, (x, k) -> k > 0 and {alike('x', '_wins[k - 1]')} and not {same('x', '_wins[k - 1]')})) > 0"
+    before, after = (f"{alike('x', o)} and {same('x', o)}" for o in ("_wins[k - 1]", "_wins[k + 1]"))
+    found = f"transform(filter(_wins, (x, k) -> (k > 0 and {before}) or (k < size(_wins) - 1 and {after})), x -> cast(x & {mask} as int))"
+    whole = f"sort_array(transform(sequence(0, {n} - 3), i -> struct({full} as h, {words}[i] as a, {words}[i + 1] as b, {words}[i + 2] as c, i as i)))"
+    equal = lambda o: f"(x.h = {o}.h and x.a = {o}.a and x.b = {o}.b and x.c = {o}.c)"
+    exact = f"transform(array({whole}), s -> transform(filter(s, (x, k) -> (k > 0 and {equal('s[k - 1]')}) or (k < size(s) - 1 and {equal('s[k + 1]')})), x -> x.i))[0]"
+    places = f"sort_array(if({mixed}, {exact}, {found}))"
     return wins, F.expr(f"aggregate({places}, struct(0L as n, -3 as last), (a, p) -> struct(a.n + least(3, p - a.last) as n, p as last), a -> a.n)")
 
 
-def text_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
+def text_counts(docs: DataFrame, keep: list[str], hash_bits: int = 64) -> DataFrame:
     """Base counts of every whole text (null: empty), the columns of keep, and `lines`: key and characters of each line with a word."""
     text = F.coalesce(F.col("text"), F.lit(""))
     held = docs.select(*keep, text.alias("_t")).withColumn("_pieces", F.split("_t", SPACE))
     held = held.withColumn("_words", F.array_remove("_pieces", ""))
-    wins, repeats = repeated_words("_words")
+    wins, repeats = repeated_words("_words", hash_bits)
     held = held.withColumn("_wins", wins)
     held = held.withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     norm = lambda x: F.lower(F.trim(F.regexp_replace(x, SPACE + "+", " ")))

@@ -44,6 +44,35 @@ def test_rules(spark, docs, corpus, scratch, tmp_path):
     assert any(r["kept"] for r in got) and any(not r["kept"] and not r["base_failed"] for r in got)
 
 
+def repeats(text):
+    w = WORD.findall(text)
+    wins = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+    return len({p for k in range(len(w) - 2) if wins[tuple(w[k : k + 3])] > 1 for p in (k, k + 1, k + 2)})
+
+
+def test_windows_of_one_hash(spark):
+    """Hashes so narrow that unequal windows lie between equal ones."""
+    import random
+
+    rng = random.Random(2)
+    texts = ["", "a", "a b", "a b c", "a b c a b c", *(" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(80))) for _ in range(200))]
+    texts += [words(rng, 600, 900) + " " + words(rng, 20, 3) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for bits in (0, 1, 3, 64):
+        got = {r["doc_id"]: r["n_repeat_words"] for r in qr.text_counts(df, ["doc_id"], bits).collect()}
+        assert got == {i: repeats(t) for i, t in enumerate(texts)}
+
+
+def test_windows_of_a_very_long_text(spark):
+    """More words than the places of a short text hold, most of them repeated."""
+    head = " ".join(f"w{k}" for k in range(90_000))
+    text = head + " " + head + " x y z"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert qr.text_counts(df, ["doc_id"]).first()["n_repeat_words"] == 180_000
+    # of 30 bits that some 180,000 windows have, many are alike
+    assert qr.text_counts(df, ["doc_id"], 30).first()["n_repeat_words"] == 180_000
+
+
 def test_rules_plan_is_native(docs, scratch):
     plan = qr.text_counts(docs, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
