@@ -51,6 +51,32 @@ def test_iban_before_other_words():
     assert not [s for s in pd.find("DE88370400440532013000 Please pay, DE89370400440532013000X") if s[0] == "iban"]
 
 
+def test_context_decides_on_added_kinds():
+    code = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    for ahead in ("token = ", 'api_key: "', "Password ", "x" * 500 + " secret="):
+        t = ahead + code + " end"
+        assert [(k, t[a:b], s) for k, a, b, s in pd.find(t)] == [("secret", code, 0.5)]
+    for ahead in ("", "commit ", "tokens ", "my_token ", "token " + "x" * 48 + " ", "token g"):
+        assert not pd.find(ahead + code)
+    assert not [s for s in pd.find("key " + "1" * 40 + " key " + "a" * 40 + " key " + "1a" * 15 + " key " + "1a" * 40) if s[0] == "secret"]
+    assert [s[0] for s in pd.find("token _" + "1a" * 16 + "_, IBAN _DE89370400440532013000_")] == ["iban", "secret"]
+    assert pd.redact(f'token = "{code}"') == 'token = "[secret]"'
+
+
+def test_scores_like_sql(spark, tmp_path):
+    import compare
+
+    code = "0123456789abcdef" * 2
+    texts = ["token " * k + f"{'y' * j} {code} _{code}_ mail a@b.cd, call: +1 (988) 555-2485, Bank DE89370400440532013000. ip 1.2.3.4" for k in range(3) for j in range(35, 45)]
+    texts += ["é" * j + f" key {code}é{code}" for j in range(40, 50)] + [f"key{code}", f" KEY\n{code}", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert not compare.difference(pd.op5_personal_data(spark, str(tmp_path)), con, pd.ORACLE)
+
+
 def test_linear_on_long_runs():
     for t in ("a" * 300_000 + "@", "1" * 300_000, "1." * 150_000, "+1" + "(" * 300_000, "1 " * 150_000, "A" * 300_000, "a@" * 100_000, "-" * 300_000 + "@-"):
         pd.find(t)
