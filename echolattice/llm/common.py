@@ -301,8 +301,8 @@ def keyed(items, most: int = 500_000):
         yield _combined(held)
 
 
-def candidates(items: DataFrame, run, scratch: Scratch, prune: int = 0) -> DataFrame:
-    """(node, component): parts of ids such that any two ids that share as many keys as either needs are in one.
+def candidates(items: DataFrame, run, scratch: Scratch, prune: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(node, component): parts of ids such that any two ids that share as many keys as either needs are in one; and (key, id, need) of the shared keys.
 
     run(batches of items) yields keyed() rows. A key that any number of ids has sends one row from each combined run, so no
     task gathers its ids; keys of one id aren't written. Then, so many times, ids that share fewer keys than they need are
@@ -319,8 +319,7 @@ def candidates(items: DataFrame, run, scratch: Scratch, prune: int = 0) -> DataF
         held = nxt
     heads = held.groupBy("key").agg(F.min("id").alias("head"))
     edges = scratch.write(held.join(heads, "key").where("id <> head").select("id", "head").distinct())
-    scratch.drop(held)
-    return connected_components(edges, scratch)
+    return connected_components(edges, scratch), held
 
 
 # ---- blocks of bounded size -----------------------------------------------------------------------------------

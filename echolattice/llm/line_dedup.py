@@ -1,11 +1,12 @@
 """Line dedup: segment-partition edit join.
 
-Lines of SHORT characters or more are compared up to EDITS edits, shorter ones exactly, those under LEAST not at all. A line
-is cut into EDITS + 1 segments; of two lines within EDITS edits, the longer has one of the shorter one's segments whole, at a
-place that its index and the difference of the lengths bound. Segments and the substrings at those places are keys (with the
-length and the segment's number); lines with a key in common are in one part, and a part's lines are verified by a banded
-bit-parallel edit distance. Lines so linked, directly or over others, are a class; its first occurrence stays (by doc_id,
-then line number), the others go.
+Two lines link if they are within one edit for each PER characters of the shorter one, EDITS at most: the one law for lines of
+any length, by which lines under PER characters link with equal ones alone. A line of e edits is cut into e + 1 segments; of two
+linked lines, the longer has one of the shorter one's segments whole, at a place that its index and the difference of the
+lengths bound. Segments and the substrings at those places are keys, with the length and the segment's number. Lines that a
+key joins, directly or over others, are a part; in a part, pairs that a probe hits are verified by a banded bit-parallel edit
+distance. Linked lines, directly or over others, are a class; its first occurrence stays (by doc_id, then line number), the
+others go. Lines under LEAST characters, such as brackets and page numbers, are no passages: they stay and count for nothing.
 """
 
 from __future__ import annotations
@@ -15,15 +16,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolattice.llm.common import Forest, Rolling, Scratch, candidates, connected_components, keyed, mix64, runs, ship, small, text_slices
+from echolattice.llm.common import Forest, Rolling, Scratch, candidates, connected_components, fresh, keyed, mix64, quoted, runs, ship, small, text_slices
 
-EDITS, LEAST, SHORT = 2, 12, 40
+EDITS, PER, LEAST = 2, 20, 12
 #: Characters of a block, about.
 BLOCK = 2_000_000
 #: Columns of a line's character counts, for the bound on edits.
 BAG = 64
 
 
+def allowed(size, edits: int = EDITS, per: int = PER):
+    """Edits within which a line of so many characters, the shorter of two, links."""
+    return np.minimum(np.asarray(size) // per, edits)
+
+
 def within(a: str, b: str, edits: int) -> bool:
     """Whether the edit distance is at most edits: what is alike at either end is passed over, the rest is run in a band.
 
@@ -90,44 +96,56 @@ def line_bounds(off: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends
 
 
-def segment_keys(hashes: Rolling, start: np.ndarray, size: np.ndarray, edits: int) -> np.ndarray:
-    """Keys of lines of these starts and sizes, a column for each: segments of lines as long, and of up to edits characters less.
+def segment_keys(hashes: Rolling, start: np.ndarray, size: np.ndarray, edits: int, per: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of lines of these starts and sizes, and whose they are: segments of lines as long, and of up to `edits` characters less.
 
-    Segment i (from 1) of a line of length L starts at p; a line of length L + d can only have it at a place from
-    max(p - (i - 1), p + d - (edits + 1 - i)) to min(p + (i - 1), p + d + (edits + 1 - i)), else more edits would be needed
-    on one side of it than are left when the sides are weighed together. For d = 0 the line's own segments are among them.
+    Segment i (from 1) of a line of length L and e edits starts at p; a line of length L + d can only have it at a place from
+    max(p - (i - 1), p + d - (e + 1 - i)) to min(p + (i - 1), p + d + (e + 1 - i)), else more edits would be needed on one
+    side of it than are left when the sides are weighed together. For d = 0 the line's own segments are among them.
     """
-    parts, out = edits + 1, []
+    keys, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for d in range(edits + 1):
-        length = size - d
-        base, longer = length // parts, length % parts
-        for i in range(1, parts + 1):
-            p = (i - 1) * base + np.maximum(0, i - 1 - (parts - longer))
-            seg = base + (i > parts - longer)
-            lo, hi = max(-(i - 1), d - (parts - i)), min(i - 1, d + parts - i)
-            for q in range(lo, hi + 1):
-                at = np.clip(p + q, 0, size - seg)
-                h = hashes(start + at, start + at + seg)
-                out.append(mix64(h ^ (length.astype(np.uint64) << np.uint64(8)) + np.uint64(i)).view(np.int64))
-    return np.stack(out, 1) if out else np.zeros((len(size), 0), np.int64)
-
-
-def line_id(line: str | Column):
-    """A line's 64-bit name: Spark's xxhash64 of its text."""
-    if isinstance(line, Column):
-        return F.xxhash64(line)
+        least = allowed(size - d, edits, per)
+        for e in range(max(d, 1), edits + 1):
+            own = np.flatnonzero(least == e)
+            if not len(own):
+                continue
+            at, whole, parts = start[own], size[own], e + 1
+            length = whole - d
+            base, longer = length // parts, length % parts
+            for i in range(1, parts + 1):
+                p = (i - 1) * base + np.maximum(0, i - 1 - (parts - longer))
+                seg = base + (i > parts - longer)
+                for q in range(max(-(i - 1), d - (parts - i)), min(i - 1, d + parts - i) + 1):
+                    x = at + np.clip(p + q, 0, whole - seg)
+                    keys.append(mix64(hashes(x, x + seg) ^ (length.astype(np.uint64) << np.uint64(8)) + np.uint64(i)).view(np.int64))
+                    rows.append(own)
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+def line_id(line: str) -> int:
+    """A line's 64-bit name among candidates: Spark's xxhash64 of its text."""
     import xxhash
 
     x = xxhash.xxh64_intdigest(line.encode(), 42)
     return x - (1 << 64) if x >> 63 else x
 
 
+def line_names(line: Column) -> dict[str, Column]:
+    """A line's 128-bit name, in two columns; the first is line_id's."""
+    return {"line": F.xxhash64(line), "line2": F.xxhash64(F.lit("line"), line)}
+
+
 def _ids(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     raw = codes.astype("<u4").tobytes()
     return np.array([line_id(raw[4 * a : 4 * b].decode("utf-32-le")) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
 
 
-def _line_keys(edits: int, short: int):
+def _hashes(codes: np.ndarray) -> Rolling:
+    return Rolling(mix64(codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
+
+
+def _line_keys(edits: int, per: int):
     def run(batches):
         def items():
             seen: set[int] = set()  # lines of this partition: copies in it are keyed once
@@ -135,7 +153,7 @@ def _line_keys(edits: int, short: int):
                 for _, off, data in text_slices(b.column(0)):
                     codes, at = _codes(off, data)
                     starts, ends = line_bounds(at, codes)
-                    long = np.flatnonzero(ends - starts >= short)
+                    long = np.flatnonzero(ends - starts >= per)
                     if not len(long):
                         continue
                     ids = _ids(codes, starts[long], ends[long])
@@ -145,91 +163,143 @@ def _line_keys(edits: int, short: int):
                             seen.add(x)
                             new.append(k)
                     long, ids = long[new], ids[new]
-                    keys = segment_keys(Rolling(mix64(codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))), starts[long], (ends - starts)[long], edits)
-                    yield keys.ravel(), np.repeat(ids, keys.shape[1]), np.ones(keys.size, np.int64)
+                    keys, rows = segment_keys(_hashes(codes), starts[long], (ends - starts)[long], edits, per)
+                    yield keys, ids[rows], np.ones(len(keys), np.int64)
 
         yield from keyed(items())
 
     return run
 
 
-def linked_lines(lines: list[str], edits: int, side: np.ndarray | None = None):
-    """A forest (i, j) of the lines within edits of each other; pairs whose ends are joined, or whose character counts differ too much, aren't verified."""
+def probe_hits(lines: list[str], edits: int, per: int):
+    """(i, others): for each line the later ones, by length, that share a key with it. The lines' order by length comes first."""
     size = np.array([len(x) for x in lines], np.int64)
+    order = np.argsort(size, kind="stable")
+    codes = np.frombuffer("".join(lines[k] for k in order).encode("utf-32-le"), "<u4")
+    sizes = size[order]
+    keys, rows = segment_keys(_hashes(codes), np.cumsum(sizes) - sizes, sizes, edits, per)
+    place = np.lexsort((rows, keys))
+    keys, rows = keys[place], rows[place]
+    once = np.concatenate([[True], (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])]) if len(keys) else np.zeros(0, bool)
+    keys, rows = keys[once], rows[once]
+    end = np.searchsorted(keys, keys, "right")
+    yield order
+    more = np.flatnonzero(end - np.arange(len(keys)) > 1)  # members of a key that have later ones
+    more = more[np.argsort(rows[more], kind="stable")]
+    cuts = np.flatnonzero(np.diff(rows[more], prepend=-1, append=-1))
+    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        own = more[x:y]
+        yield int(rows[own[0]]), np.unique(np.concatenate([rows[k + 1 : end[k]] for k in own.tolist()]))
+
+
+def linked_lines(lines: list[str], edits: int, per: int = PER, side: np.ndarray | None = None, count: list[int] | None = None):
+    """A forest (i, j) of the lines that link; of the pairs that share a key, those whose ends are joined, or whose character counts differ too much, aren't verified.
+
+    side: only pairs across. count[0] grows with the pairs verified.
+    """
+    if not lines:
+        return
     bags = np.zeros((len(lines), BAG), np.int32)
     for k, x in enumerate(lines):
         bags[k] = np.bincount(np.frombuffer(x.encode("utf-32-le"), "<u4") % BAG, minlength=BAG)
-    order = np.argsort(size, kind="stable")
-    sizes, bags = size[order], bags[order]
-    until = np.searchsorted(sizes, sizes + edits, "right")
+    hits = probe_hits(lines, edits, per)
+    order = next(hits)
     forest = Forest(len(lines))
-    for a in range(len(lines)):
-        i = order[a]
-        near = order[a + 1 : until[a]]
-        open_ = forest.label[near] != forest.label[i]
+    for a, others in hits:
+        i, near = order[a], order[others]
+        most = int(allowed(len(lines[i]), edits, per))
+        near = near[forest.label[near] != forest.label[i]]
         if side is not None:
-            open_ &= side[near] != side[i]
-        if not open_.any():
-            continue
-        open_[open_] = np.abs(bags[a + 1 : until[a]][open_] - bags[a]).sum(axis=1) <= 2 * edits
-        for j in near[open_]:
-            if forest.label[i] != forest.label[j] and within(lines[i], lines[j], edits):
-                forest.join(i, j)
-                yield int(i), int(j)
-
-
-def line_classes(docs: DataFrame, scratch: Scratch, edits: int = EDITS, short: int = SHORT) -> DataFrame:
-    """(line, class) for the lines of docs(text) that are within edits of a different one; names as line_id gives them, the least of a class."""
+            near = near[side[near] != side[i]]
+        if len(near):
+            near = near[np.abs(bags[near] - bags[i]).sum(axis=1) <= 2 * most]
+        for j in near:
+            if forest.label[i] != forest.label[j]:
+                if count is not None:
+                    count[0] += 1
+                if within(lines[i], lines[j], most):
+                    forest.join(i, j)
+                    yield int(i), int(j)
+
+
+def line_classes(docs: DataFrame, scratch: Scratch, edits: int = EDITS, per: int = PER) -> DataFrame:
+    """(line, line2, class) for the lines of docs(text) that link with a different one; lines by their names, classes by numbers."""
     ship(docs.sparkSession)
-    parts = candidates(docs.select("text"), _line_keys(edits, short), scratch)
+    parts, shared = candidates(docs.select("text"), _line_keys(edits, per), scratch)
     members = scratch.write(parts.select(F.col("node").alias("line"), F.col("component").alias("part")))
-    texts = docs.select(F.explode(F.split("text", "\n")).alias("text")).where(F.length("text") >= short).withColumn("line", line_id(F.col("text")))
-    texts = scratch.write(texts.join(small(members), "line").select("part", "line", "text").dropDuplicates(["line"]))
-    # Blocks: a part of at most BLOCK characters is one; else it is cut by the hash of the line, and each pair of cuts is a task.
-    cuts = texts.groupBy("part").agg(F.ceil(F.sum(F.length("text")) / BLOCK).cast("int").alias("cuts"))
-    cut = texts.join(cuts, "part").withColumn("cut", F.pmod(F.xxhash64("line"), "cuts").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
-    pairs = cut.withColumn("other", other).withColumns({"a": F.least("cut", "other"), "b": F.greatest("cut", "other")})
+    texts = docs.select(F.explode(F.split("text", "\n")).alias("text")).where(F.length("text") >= per).withColumns(line_names(F.col("text")))
+    texts = texts.join(small(members), "line").dropDuplicates(["line", "line2"])
+    texts = scratch.write(texts.select("part", "line", "line2", "text", F.length("text").alias("chars"), F.monotonically_increasing_id().alias("node")))
+    # A part of at most BLOCK characters is one block. In a larger one, lines meet by their keys: keys of few characters share
+    # blocks by hash, and a key of more is cut by the hash of the line, where each pair of cuts is a task.
+    large = texts.groupBy("part").agg(F.sum("chars").alias("all")).where(F.col("all") > BLOCK).select("part")
+    large = small(scratch.write(large))
+    whole = texts.join(large, "part", "left_anti").select(F.xxhash64(F.lit("part"), "part").alias("group"), F.lit(1).alias("cuts"), "node", "text")
+    split = texts.join(large, "part", "left_semi")
+    met = scratch.write(split.join(shared.select("key", F.col("id").alias("line")).distinct(), "line").select("key", "node", "chars"))
+    heavy = scratch.write(met.groupBy("key").agg(F.ceil(F.sum("chars") / BLOCK).cast("int").alias("cuts")).where("cuts > 1"))
+    light = met.join(small(heavy), "key", "left_anti")
+    buckets = max(1, -(-(light.agg(F.sum("chars")).first()[0] or 0) // BLOCK))
+    few = light.select(F.xxhash64(F.lit("keys"), F.pmod(F.xxhash64("key"), F.lit(buckets))).alias("group"), F.lit(1).alias("cuts"), "node").distinct()
+    many = met.join(small(heavy), "key").select(F.xxhash64(F.lit("key"), "key").alias("group"), "cuts", "node")
+    blocks = whole.unionByName(few.unionByName(many).join(split.select("node", "text"), "node"))
+    cut = blocks.withColumn("cut", F.pmod(F.xxhash64("node"), "cuts").cast("int"))
+    pairs = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumns({"a": F.least("cut", "other"), "b": F.greatest("cut", "other")})
     side = F.when(F.col("a") == F.col("b"), 0).when(F.col("cut") == F.col("a"), 1).otherwise(2)
-    points = pairs.select(F.xxhash64("part", "a", "b").alias("task"), side.alias("side"), "line", "text").repartition("task").sortWithinPartitions("task", "line")
+    points = pairs.select(F.xxhash64("group", "a", "b").alias("task"), side.alias("side"), "node", "text").repartition("task").sortWithinPartitions("task", "node")
 
     def verify(batches):
         for t in runs(batches):
             if t.num_rows > 1:
-                ids, side = t.column("line").to_numpy(), t.column("side").to_numpy()
-                found = list(linked_lines(t.column("text").to_pylist(), edits, side if side.any() else None))
+                ids, side = t.column("node").to_numpy(), t.column("side").to_numpy()
+                found = list(linked_lines(t.column("text").to_pylist(), edits, per, side if side.any() else None))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[[x[k] for x in found]] if found else [], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     links = scratch.write(points.mapInArrow(verify, "a long, b long"))
-    return connected_components(links, scratch).select(F.col("node").alias("line"), F.col("component").alias("class"))
+    found = connected_components(links, scratch).select("node", F.col("component").alias("class"))
+    return texts.select("node", "line", "line2").join(found, "node").select("line", "line2", "class")
 
 
-def dedup_lines(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: int = LEAST, short: int = SHORT) -> DataFrame:
-    """docs without the lines whose class has an earlier occurrence; adds _lines and _removed, the numbers of lines before and gone.
+def dedup_lines(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: int = LEAST, per: int = PER) -> DataFrame:
+    """docs without the lines whose class has an earlier occurrence; then two columns, the numbers of lines before and gone.
 
     Earlier is by doc_id (nulls last), then the text's hash, then the line number. Null and empty texts have no lines and stay
     as they are. Rows equal in doc_id and text are one document and keep the same lines. Lines under `least` characters, and
-    lines without a word, stay. Other columns are passed through, whatever their names.
+    lines without a word, stay. Other columns are passed through, whatever their names. The two columns are called _lines and
+    _removed, with more underscores ahead where docs has such a column.
     """
     names = docs.columns
     key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64("text").alias("t"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    classes = line_classes(source.where("text is not null").select("text"), scratch, edits, short)
-    each = source.where("text is not null").select(key.alias("doc"), F.posexplode(F.split("text", "\n")).alias("at", "one"))
-    each = each.where(F.length("one") >= least).where(F.col("one").rlike(r"[^\x20\x09-\x0D]")).select("doc.d", "doc.t", "at", line_id(F.col("one")).alias("line"))
-    held = scratch.write(each)
-    named = scratch.write(held.join(small(scratch.write(classes)), "line", "left").select("d", "t", "at", F.coalesce("class", "line").alias("class")))
+    classes = scratch.write(line_classes(source.where("text is not null").select("text"), scratch, edits, per))
+    # The key below the lines, or it would be worked out for each of them.
+    each = source.where("text is not null").select(key.alias("doc"), "text").select("doc.d", "doc.t", F.posexplode(F.split("text", "\n")).alias("at", "one"))
+    each = each.where(F.length("one") >= least).where(F.col("one").rlike(r"[^\x20\x09-\x0D]")).withColumns(line_names(F.col("one")))
+    held = scratch.write(each.select("d", "t", "at", "line", "line2"))
+    # A class is its number, or the name of the one line that it is.
+    linked = F.col("class").isNotNull()
+    class_ = [F.coalesce("class", "line").alias("c1"), F.when(~linked, F.col("line2")).alias("c2")]
+    named = scratch.write(held.join(small(classes), ["line", "line2"], "left").select("d", "t", "at", *class_))
     scratch.drop(held)
     place = F.struct("d", "t", "at")
     # Written, so that the join with a class that very many lines have is one that adaptive execution can split.
-    firsts = scratch.write(named.groupBy("class").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("class", "first"))
-    gone = named.join(small(firsts, 50_000), "class").where(place != F.col("first")).groupBy("d", "t").agg(F.collect_set("at").alias("_gone"))
+    firsts = scratch.write(named.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("c1", F.coalesce("c2", F.lit(0)).alias("c2"), F.col("c2").isNull().alias("c0"), "first"))
+    flat = named.select("d", "t", "at", "c1", F.coalesce("c2", F.lit(0)).alias("c2"), F.col("c2").isNull().alias("c0"))
+    gone = flat.join(small(firsts, 50_000), ["c1", "c2", "c0"]).where(place != F.col("first")).groupBy("d", "t").agg(F.sort_array(F.collect_set("at")).alias("gone"))
     gone = scratch.write(gone)
-    keyed_docs = docs.select(F.struct(*names).alias("_row"), key.alias("_key")).select("_row", "_key.d", "_key.t")
-    out = keyed_docs.join(small(gone, 20_000), ["d", "t"], "left").select("_row", F.split("_row.text", "\n").alias("_all"), "_gone")
-    left = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(F.array_join(F.filter("_all", lambda x, i: ~F.array_contains("_gone", i)), "\n"))
-    kept = [left.alias("text") if n == "text" else F.col("_row")[n].alias(n) for n in names]
-    return out.select(*kept, F.coalesce(F.size("_all"), F.lit(0)).alias("_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("_removed"))
+    keyed_docs = docs.select(F.struct(*quoted(names)).alias("row"), key.alias("key")).select("row", "key.d", "key.t")
+    out = keyed_docs.join(small(gone, 20_000), ["d", "t"], "left").select("row", "gone")
+    # The places that stay, by a hash set of those that go: linear in the lines, which are split once.
+    def left(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+        return F.struct(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n").alias("text"), F.size(lines).alias("lines"))
+
+    text = F.get(F.transform(F.array(F.split("row.text", "\n")), left), F.lit(0))
+    n, removed = fresh(names, "_lines", "_removed")
+    plain = F.coalesce(F.size(F.split("row.text", "\n")), F.lit(0))
+    done = out.select("row", F.coalesce(F.size("gone"), F.lit(0)).alias("removed"), F.when(F.col("gone").isNull(), F.struct(F.col("row.text").alias("text"), plain.alias("lines"))).otherwise(text).alias("new"))
+    kept = [F.col("new.text").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in names]
+    return done.select(*kept, F.col("new.lines").alias(n), F.col("removed").alias(removed))
 
 
 def op10_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,13 +316,13 @@ l AS (
     SELECT rid, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i
     FROM (SELECT row_number() OVER () AS rid, doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL))),
 named AS (SELECT * FROM l WHERE length(line) >= {LEAST} AND regexp_matches(line, '[^\x20\x09-\x0D]')),
-d AS (SELECT DISTINCT line, length(line) AS n FROM named WHERE length(line) >= {SHORT}),
+d AS (SELECT DISTINCT line, length(line) AS n FROM named WHERE length(line) >= {PER}),
 near AS (
   SELECT a.line AS x, b.line AS y FROM d a JOIN d b
     ON b.n BETWEEN a.n AND a.n + {EDITS} AND a.line <> b.line
    AND (substr(a.line, 1, a.n // 3) = substr(b.line, 1, a.n // 3) OR right(a.line, a.n // 3) = right(b.line, a.n // 3)
         OR contains(b.line, substr(a.line, a.n // 3 + 1, a.n // 3)))
-  WHERE levenshtein(a.line, b.line) <= {EDITS}),
+  WHERE b.n <= a.n + least({EDITS}, a.n // {PER}) AND levenshtein(a.line, b.line) <= least({EDITS}, a.n // {PER})),
 edges AS (SELECT x, y FROM near UNION SELECT y, x FROM near),
 reach AS (SELECT DISTINCT x AS line, x AS other FROM edges UNION SELECT r.line, e.y FROM reach r JOIN edges e ON r.other = e.x),
 cls AS (SELECT line, min(other) AS c FROM reach GROUP BY line),

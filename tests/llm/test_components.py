@@ -50,7 +50,7 @@ def test_candidates(spark, scratch):
         for b in batches:
             yield from keyed(((np.array(k.split(","), np.int64), np.full(k.count(",") + 1, i), np.ones(k.count(",") + 1, np.int64)) for i, k in zip(*(c.to_pylist() for c in b.columns), strict=True)), most=50)
 
-    got = {r["node"]: r["component"] for r in candidates(df, run, scratch).collect()}
+    got = {r["node"]: r["component"] for r in candidates(df, run, scratch)[0].collect()}
     by = {}
     for i, ks in keys.items():
         for k in ks:

@@ -57,13 +57,13 @@ def test_lines_and_jaccard_against_plain_versions(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
-    lines = sorted({x for _, t in rows for x in t.split("\n") if len(x) >= line_dedup.SHORT}, key=len)
+    lines = sorted({x for _, t in rows for x in t.split("\n") if len(x) >= line_dedup.PER}, key=len)
     near = []
     for i, a in enumerate(lines):
         for b in lines[i + 1 :]:
-            if len(b) > len(a) + line_dedup.EDITS:
+            if len(b) > len(a) + (most := min(line_dedup.EDITS, len(a) // line_dedup.PER)):
                 break
-            if line_dedup.within(a, b, line_dedup.EDITS):
+            if line_dedup.within(a, b, most):
                 near.append((a, b))
     comp, seen, want = components(near), set(), {}
     for i, t in rows:
