@@ -4,7 +4,8 @@ Documents are leaves' rows of a tree: domain, language, source. A budget of toke
 proportion to the weights. No node gets more than it holds, which is its documents' tokens times the epochs allowed; what a
 node can't take goes to its siblings, and only what all siblings can't take is missing at their parent, which was itself
 never given more than they hold. A leaf then takes the prefix of its tokens in the seeded order of its epochs: whole epochs,
-then the documents of the next whose running total stays within the budget.
+then the documents of the next whose running total stays within the budget. Documents aren't cut: a leaf's budget that its next
+document would overshoot is left unspent, less than one document a leaf.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from echolattice.llm.common import Scratch
+from echolattice.llm.common import Scratch, fresh, quoted
 
 LEVELS = ("domain", "lang", "source")
 #: Weights by level and name among siblings; a name that isn't listed has weight 1.
@@ -89,15 +90,15 @@ def place_key(seed: int, epoch: Column, doc: Column, text: Column) -> Column:
 
 
 def mix(docs: DataFrame, scratch: Scratch, domain: Column, share: int = SHARE, epochs: int = EPOCHS, weights: dict = WEIGHTS, seed: int = 23) -> DataFrame:
-    """The rows of docs that are taken, with _epoch (from 0), _tokens and the names _domain, _lang and _source.
+    """The rows of docs that are taken, with _epoch (from 0), _tokens and the names _domain, _lang and _source as last columns.
 
-    A row appears once for each epoch it is taken in. Null names are one node, "(none)"; null and empty texts hold no tokens
+    Where docs has a column of such a name, the added one has more underscores ahead. A row appears once for each epoch it is taken in. Null names are one node, "(none)"; null and empty texts hold no tokens
     and cost nothing, so that they are taken where a prefix passes them. Rows that repeat an id and a text have the same
     place and are taken one by one in no particular order. Other columns are passed through.
     """
     names = docs.columns
     named = {"_domain": domain, "_lang": F.col("lang"), "_source": F.col("source")}
-    held = docs.select(F.struct(*names).alias("_row"), "doc_id", "text", *(F.coalesce(c, F.lit("(none)")).alias(k) for k, c in named.items()))
+    held = docs.select(F.struct(*quoted(names)).alias("_row"), "doc_id", "text", *(F.coalesce(c, F.lit("(none)")).alias(k) for k, c in named.items()))
     path = ["_domain", "_lang", "_source"]
     order = lambda text: place_key(seed, F.col("_whole"), F.col("doc_id"), text)
     print_ = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
@@ -128,9 +129,11 @@ def mix(docs: DataFrame, scratch: Scratch, domain: Column, share: int = SHARE, e
     last = placed.where((F.col("_rest") > 0) & (F.col("_bucket") == F.col("_end"))).withColumn("_n", words(F.col("text")))
     run = F.sum("_n").over(Window.partitionBy(*path).orderBy("_place", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
     last = last.withColumn("_run", run).where("_before + _run <= _rest").withColumn("_epoch", F.col("_whole"))
-    own = [F.col("_row")[n].alias(n) for n in names]
+    own = [F.col("_row").getField(n).alias(n) for n in names]
+    added = fresh(names, "_epoch", "_tokens", *path)
     out = most.select("_row", "text", "_epoch", *path).unionByName(last.select("_row", "text", "_epoch", *path))
-    return out.select(*own, F.col("_epoch").cast("int").alias("_epoch"), words(F.col("text")).alias("_tokens"), *path)
+    cost = [F.col("_epoch").cast("int"), words(F.col("text")), *map(F.col, path)]
+    return out.select(*own, *(c.alias(n) for c, n in zip(cost, added, strict=True)))
 
 
 def op8_hierarchical_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +170,7 @@ def oracle() -> str:
     return rf"""
 WITH t AS (
   SELECT doc_id, text, 'domain' || (coalesce(TRY_CAST(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) AS INTEGER), 0) % 4) AS domain,
-         coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS tokens
+         coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens
   FROM documents),
 leaf AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens FROM t GROUP BY ALL),
 {_level("l1", f"SELECT *, {weight('domain')} AS w FROM (SELECT '' AS parent, domain AS name, {room} AS room FROM leaf GROUP BY ALL)", f"SELECT '' AS parent, sum(tokens)::BIGINT * {SHARE} // 100 AS budget FROM leaf")},

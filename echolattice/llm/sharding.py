@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from echolattice.llm.common import Scratch, ship
+from echolattice.llm.common import Scratch, fresh, quoted, ship
 
 ROUNDS = 6
 #: Multipliers of the round function. Products with a half of at most 31 bits stay inside a signed 64-bit word.
@@ -83,34 +83,47 @@ def row_at(shard: int, slot: int, n: int, shards: int, seed: int = 0) -> int:
     return int(unpermute([slot * shards + shard], n, seed)[0])
 
 
-def number_rows(df: DataFrame, keys: list[str], scratch: Scratch, name: str = "row_number") -> DataFrame:
-    """df with dense numbers from 0 in the order of keys. No task sorts more than its range; ties are ordered by the other columns."""
-    order = [*keys, *(c for c in df.columns if c not in keys)]
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+def _numbered(df: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
+    """(row, number): the rows of df as structs, numbered from 0 in the order of keys, then of the other columns."""
+    names = df.columns
+    by = [F.col("row").getField(c) for c in (*keys, *(c for c in names if c not in keys))]
+    ranged = df.select(F.struct(*quoted(names)).alias("row")).repartitionByRange(*by).sortWithinPartitions(*by)
     at = F.monotonically_increasing_id()
-    held = scratch.write(ranged.withColumns({"_part": F.shiftright(at, 33), "_at": at.bitwiseAND((1 << 33) - 1)}))
-    sizes = held.groupBy("_part").agg(F.count("*").alias("_n"))  # as many rows as partitions
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
-    return held.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+    held = scratch.write(ranged.select("row", F.shiftright(at, 33).alias("part"), at.bitwiseAND((1 << 33) - 1).alias("at")))
+    sizes = held.groupBy("part").agg(F.count("*").alias("n"))  # as many rows as partitions
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("part", F.coalesce(before, F.lit(0)).alias("start"))
+    return held.join(F.broadcast(starts), "part").select("row", (F.col("start") + F.col("at")).alias("number"))
+
+
+def number_rows(df: DataFrame, keys: list[str], scratch: Scratch, name: str = "row_number") -> DataFrame:
+    """df and, as its last column, dense numbers from 0 in the order of keys. No task sorts more than its range; ties are ordered by the other columns.
+
+    Where df has a column of that name, the numbers' has underscores ahead.
+    """
+    own = [F.col("row").getField(c).alias(c) for c in df.columns]
+    return _numbered(df, keys, scratch).select(*own, F.col("number").alias(fresh(df.columns, name)[0]))
 
 
 def shard_rows(df: DataFrame, keys: list[str], shards: int, scratch: Scratch, seed: int = 0) -> DataFrame:
-    """df with row_number, shard and slot. Shards' row counts differ by one at most; slots are gapless from 0.
+    """df and, as its last columns, row_number, shard and slot. Shards' row counts differ by one at most; slots are gapless from 0.
 
     The result depends on the rows, the key order, the number of rows, shards and seed, and not on how df is partitioned.
-    Nulls sort first; rows that are equal in every column are interchangeable; an empty table stays empty.
+    Nulls sort first; rows that are equal in every column are interchangeable; an empty table stays empty. Where df has a
+    column of one of the three names, the added one has underscores ahead.
     """
     ship(df.sparkSession)
-    numbered = number_rows(df, keys, scratch)
+    numbered = _numbered(df, keys, scratch)
     n = numbered.count()
 
     @F.pandas_udf("long")
     def position(rows: pd.Series) -> pd.Series:
         return pd.Series(permute(rows.to_numpy(), n, seed))
 
-    p = F.col("_position")
-    return numbered.withColumn("_position", position("row_number")).withColumns({"shard": (p % shards).cast("int"), "slot": F.expr(f"_position div {shards}")}).drop("_position")
+    placed = numbered.select("row", "number", position("number").alias("place"))
+    own = [F.col("row").getField(c).alias(c) for c in df.columns]
+    number, shard, slot = fresh(df.columns, "row_number", "shard", "slot")
+    return placed.select(*own, F.col("number").alias(number), (F.col("place") % shards).cast("int").alias(shard), F.expr(f"place div {shards}").alias(slot))
 
 
 def text_size(text: Column) -> Column:

@@ -57,6 +57,15 @@ def test_against_plain_prefixes(spark, docs, corpus, scratch, monkeypatch):
     assert Counter((r["doc_id"], r["text"], r["_epoch"]) for r in got) == want
 
 
+def test_any_columns(spark, scratch):
+    """Every name that is used inside, on columns of the caller's."""
+    names = ["_row", "_epoch", "_Tokens", "_domain", "_lang", "_source", "_text", "_bucket", "_place", "_whole", "_rest", "_buckets", "_end", "_before", "_n", "_run", "n", "e", "before", "a.b"]
+    df = spark.createDataFrame([(k, "x " * 5, "en", "src0", *names) for k in range(40)], ["doc_id", "text", "lang", "source", *names])
+    out = mixing.mix(df, scratch, mixing.domain_of(F.col("source")), share=50, epochs=1)
+    assert out.columns == [*df.columns, "__epoch", "__tokens", "__domain", "__lang", "__source"]
+    assert len(rows := out.collect()) == 20 and all(tuple(r)[4:24] == tuple(names) for r in rows)
+
+
 def test_no_rows(no_docs, scratch):
     assert mixing.mix(no_docs, scratch, mixing.domain_of(F.col("source"))).count() == 0
 

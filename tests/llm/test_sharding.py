@@ -41,6 +41,17 @@ def test_shards(spark, scratch, docs, corpus):
         assert sharding.locate(r["row_number"], len(corpus), 7) == (r["shard"], r["slot"])
 
 
+def test_any_columns(spark, scratch):
+    """Every name that is used inside, on columns of the caller's."""
+    names = ["row", "number", "part", "at", "n", "start", "place", "Shard", "slot", "row_number", "_part", "_at", "_n", "_position", "a.b"]
+    df = spark.createDataFrame([(k, *names) for k in range(20)], ["doc_id", *names])
+    out = sharding.shard_rows(df, ["doc_id"], 3, scratch)
+    assert out.columns == [*df.columns, "_row_number", "_shard", "_slot"]
+    assert sorted(r[:-3] for r in map(tuple, out.collect())) == [(k, *names) for k in range(20)]
+    assert sorted((r["doc_id"], r["_row_number"]) for r in out.collect()) == [(k, k) for k in range(20)]
+    assert sharding.number_rows(df, ["doc_id"], scratch).columns == [*df.columns, "_row_number"]
+
+
 def test_empty(scratch, no_docs):
     assert sharding.shard_rows(no_docs.select("doc_id"), ["doc_id"], 5, scratch).count() == 0
 
