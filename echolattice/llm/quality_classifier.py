@@ -164,7 +164,7 @@ def co_train(table: DataFrame, labels: DataFrame, scratch: Scratch, labelled: in
     """Both trained and calibrated views, and the prior log-odds; None if the labels lack one of the classes.
 
     table: the views of all documents, materialised. Of the labelled rows about `labelled` at most, by their hash, are fitted
-    on; of the others the `pseudo` that a view is surest of, for each class, become its pseudo-labels of a round, copies
+    on, the same ones whatever the partitions; of those whose text has no label the `pseudo` that a view is surest of, for each class, become its pseudo-labels of a round, copies
     counted once. The driver gets those rows and no others.
     """
     text, meta = View([f"t_{x}" for x in _TEXT], {}), View(["m_lang", "m_source", "m_chars"], {"m_lang": LANGS, "m_source": SOURCES})
@@ -174,7 +174,8 @@ def co_train(table: DataFrame, labels: DataFrame, scratch: Scratch, labelled: in
     given = scratch.write(given)
     part = min(1.0, 0.97 * labelled / max(1, given.count()))
     drawn = given.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) < int(part * (1 << 30)))
-    sample = table.join(small(drawn), "doc_id").select("doc_id", "text_key", "y", *names).limit(labelled).collect()
+    own = scratch.write(table.join(small(given), "doc_id").select("doc_id", "text_key"))
+    sample = table.join(small(drawn), "doc_id").select("doc_id", "text_key", "y", *names).orderBy(F.xxhash64("doc_id", "text_key"), *names).limit(labelled).collect()
     sample.sort(key=lambda r: (r["doc_id"], r["text_key"]))
     x, y = _columns(sample, names), np.array([r["y"] for r in sample], float)
     if len(set(y.tolist())) < 2 or len(y) < 2 * HELD_OUT:
@@ -182,16 +183,17 @@ def co_train(table: DataFrame, labels: DataFrame, scratch: Scratch, labelled: in
     held = np.array([r["text_key"] % HELD_OUT == 0 for r in sample])  # copies are on one side
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held = np.zeros(len(y), bool)
-    own = np.flatnonzero(~held)
-    check = np.flatnonzero(held) if held.any() else own
+    fitted = np.flatnonzero(~held)
+    check = np.flatnonzero(held) if held.any() else fitted
     tx, mx = text.matrix(x), meta.matrix(x)
-    pool = table.join(small(given), "doc_id", "left_anti")
+    # Copies of a labelled text under other ids aren't pseudo-labelled: some calibrate.
+    pool = table.join(small(given), "doc_id", "left_anti").join(small(own.select("text_key").distinct()), "text_key", "left_anti")
     extra: dict[str, list] = {"text": [], "meta": []}  # rows that the other view is sure of
     for turn in range(rounds + 1):
         for name, view, mat in (("text", text, tx), ("meta", meta, mx)):
             got = {r["text_key"]: r for r in extra[name]}.values()
             more = view.matrix(_columns(list(got), names)) if got else mat[:0]
-            view.train(np.concatenate([mat[own], more]), np.concatenate([y[own], [r["y"] for r in got]]), np.concatenate([np.ones(len(own)), np.full(len(got), 0.5)]))
+            view.train(np.concatenate([mat[fitted], more]), np.concatenate([y[fitted], [r["y"] for r in got]]), np.concatenate([np.ones(len(fitted)), np.full(len(got), 0.5)]))
             view.calibrate(mat[check], y[check])
         if turn == rounds:
             break
