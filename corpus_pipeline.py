@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echolattice.llm import jaccard_join, line_dedup, mixing, packing, quality_classifier
-from echolattice.llm.common import Scratch, small, tokenizer_path
+from echolattice.llm.common import Scratch, quoted, small, tokenizer_path
 
 #: The stages aren't expressible in SQL; tests hold them against plain versions.
 ORACLE_SQL = None
@@ -25,18 +25,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "stage-quality")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     verdict = quality_classifier.classify(docs, labels, scratch)
-    gone = scratch.write(verdict.where("not kept").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text")).distinct())
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(small(gone), F.col("doc_id").eqNullSafe(F.col("_doc")) & (key == F.col("_text")), "left_anti")
+    gone = scratch.write(verdict.where("not kept").select(F.col("doc_id").alias("doc"), F.col("text_key").alias("key")).distinct())
+    held = docs.select(F.struct(*quoted(docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    left = held.join(small(gone), F.col("id").eqNullSafe(F.col("doc")) & (F.col("text_hash") == F.col("key")), "left_anti")
+    return left.select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that have an earlier occurrence go, and documents of which only white space is left by that."""
     names = docs.columns
     out = line_dedup.dedup_lines(docs, Scratch(spark, "stage-lines"))
-    out = out.where((F.col("_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    changed = {"n_chars": F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in names else {}
-    return out.withColumns(changed).select(*names)
+    removed = F.col(out.columns[-1])
+    out = out.where((removed == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    changed = {"n_chars": F.when(removed > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in names else {}
+    return out.withColumns(changed).select(*quoted(names))
 
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,13 +46,13 @@ def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "stage-jaccard")
     found = jaccard_join.jaccard_components(docs, scratch)
     gone = scratch.write(found.where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(gone), "doc_id", "left_anti").select(*quoted(docs.columns))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each leaf's prefix under the target weights."""
     out = mixing.mix(docs, Scratch(spark, "stage-mixing"), mixing.domain_of(F.col("source")), share=MIX_SHARE, epochs=MIX_EPOCHS)
-    return out.select(*docs.columns)
+    return out.select(*quoted(docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
