@@ -79,3 +79,30 @@ def test_lines_and_jaccard_against_plain_versions(spark):
     assert {r["doc_id"]: r["text"] for r in cp.lines(spark, docs, sf).collect()} == want
     alone = {i for i, _, c in brute(rows) if i == c}
     assert {r["doc_id"] for r in cp.jaccard(spark, docs, sf).collect()} == alone
+
+
+#: Names that the stages and their operators use inside.
+INSIDE = """_text _doc _row row doc key id text_hash _removed _lines _tokens _domain _epoch _lang _source d t at line line2 class gone new lines removed
+sig sig2 n rep component component_id node part task side tasks text_key y t_upper m_lang score kept _class _bucket length start offset _n _before a.b""".split()
+
+
+def test_any_columns(spark, tmp_path):
+    """Every stage on a table whose other columns have the names that are used inside: their values stay."""
+    import corpus_pipeline as cp
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    more = docs.select("*", *(F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in INSIDE))
+    plain, wide = docs, more
+    for name, stage in cp.STAGES:
+        (plain_, wide_) = stage(spark, plain, sf), stage(spark, wide, sf)
+        plain_.write.parquet(f"{tmp_path}/plain/{name}")
+        wide_.write.parquet(f"{tmp_path}/wide/{name}")
+        plain, wide = spark.read.parquet(f"{tmp_path}/plain/{name}"), spark.read.parquet(f"{tmp_path}/wide/{name}")
+        if name == "packing":
+            assert plain.count() == wide.count()
+            continue
+        assert wide.columns == more.columns
+        rows = wide.collect()
+        assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in plain.collect())
+        assert all(r[c] == f"{c}:{r['doc_id']}" for r in rows for c in INSIDE)
