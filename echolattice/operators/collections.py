@@ -21,12 +21,19 @@ def with_query_mask(catalog: DataFrame) -> DataFrame:
 
 
 def numbered(catalog: DataFrame) -> DataFrame:
-    """Adds item_idx from 0, by clique_id and perf_id: identity is the place in the selected collection.
+    """Adds item_idx from 0, by clique_id (nulls first) and perf_id: identity is the place in the selected collection.
 
-    The places are a table of keys (the collection's size, not its frames), so one sorted task is the operator's own meaning.
+    Places are worked out on the keys alone: cliques are added up, the running total goes over a row for each clique, and a
+    clique's members are placed among themselves; frames and other columns come by a join.
     """
-    order = Window.orderBy(F.col("clique_id").asc_nulls_first(), "perf_id")
-    return catalog.withColumn("item_idx", (F.row_number().over(order) - 1).cast("long"))
+    keys = catalog.select("clique_id", "perf_id")
+    sizes = keys.groupBy("clique_id").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy(F.col("clique_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("clique_id", F.coalesce(before, F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("clique_id").orderBy("perf_id")) - 1
+    placed = keys.withColumn("at", inside).alias("k").join(starts.alias("s"), F.col("k.clique_id").eqNullSafe(F.col("s.clique_id")))
+    places = placed.select(F.col("k.perf_id").alias("perf_id"), (F.col("start") + F.col("at")).cast("long").alias("item_idx"))
+    return catalog.join(places, "perf_id").select(*catalog.columns, "item_idx")
 
 
 def select_cliques(catalog: DataFrame, cliques: DataFrame | None = None, with_distractors: bool = True) -> DataFrame:
@@ -67,13 +74,14 @@ def subsample_cliques(catalog: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 
 def select_collection(catalog: DataFrame, spec: dict) -> DataFrame:
-    """A collection by its spec: kind full, subsample (n_cliques, seed) or split (split, seed), distractors."""
+    """A collection by its spec: kind full, subsample (n_cliques, seed) or split (split: a name or a list, seed), distractors."""
     kind, distractors = spec.get("kind", "full"), spec.get("distractors", True)
     if kind == "full":
         return select_cliques(catalog, None, distractors)
     if kind == "subsample":
         return select_cliques(catalog, subsample_cliques(catalog, spec["n_cliques"], spec.get("seed", 0)), spec.get("distractors", False))
     if kind == "split":
+        wanted = [spec["split"]] if isinstance(spec["split"], str) else list(spec["split"])
         splits = split_cliques(catalog, tuple(spec.get("fractions", (0.7, 0.1, 0.2))), spec.get("seed", 0))
-        return select_cliques(catalog, splits.where(F.col("split") == spec["split"]), distractors)
+        return select_cliques(catalog, splits.where(F.col("split").isin(wanted)), distractors)
     raise ValueError(f"unknown collection kind {kind!r}")

@@ -100,35 +100,39 @@ def score_block(distance: np.ndarray, own: np.ndarray, labels: np.ndarray, k: in
     }
 
 
-def score_vectors(items: DataFrame, pairs, k: int = 10, decimals: int | None = 6, block: int = 256) -> DataFrame:
-    """score_queries for the cosine distances of items(item_idx, label, vec) without a pair table.
+def score_vectors(items: DataFrame, pairs, k: int = 10, decimals: int | None = 6, block: int = 256, distance=None) -> DataFrame:
+    """score_queries for the distances of items(item_idx, label, vec) without a pair table; by default cosine distances.
 
     Every item whose label another item has is a query. If the matrix fits BROADCAST_BYTES it is sent to the executors, and a
-    task scores blocks of queries by one matrix product each; nothing is shuffled but the queries' ids. Else pairs(items)
+    task scores blocks of queries by one matrix each; nothing is shuffled but the queries' ids. Else pairs(items)
     makes the pair table. decimals: distances are rounded to so many before they are ranked; None takes them as float32.
+    distance(ids, rows, all ids, all rows): another distance, of a block of items from all.
     """
     ship(items.sparkSession)
     items = items.select("item_idx", "label", "vec").persist()  # vectors may be costly, and are asked for twice
     n, dims = items.agg(F.count("*"), F.max(F.size("vec"))).first()
-    if n * (dims or 0) * 8 > BROADCAST_BYTES:
+    if n * ((dims or 0) + 2) * 8 > BROADCAST_BYTES:
+        items.unpersist()
         return score_queries(pairs(items), k)
     t = items.orderBy("item_idx").toArrow()
     items.unpersist()
     labels = np.asarray(t.column("label").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False))
-    ids, x = t.column("item_idx").to_numpy(), np.asarray(t.column("vec").combine_chunks().flatten(), np.float64).reshape(n, -1)
-    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-    held = items.sparkSession.sparkContext.broadcast((ids, labels, x / np.maximum(norm, 1e-9)[:, None]))
+    ids, x = t.column("item_idx").to_numpy(), np.asarray(t.column("vec").combine_chunks().flatten(), np.float64).reshape(n, -1 if n and dims else 0)
+    if distance is None:
+        norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+        x = x / np.maximum(norm, 1e-9)[:, None]
+    held = items.sparkSession.sparkContext.broadcast((ids, labels, x))
     size = np.bincount(labels[labels >= 0], minlength=1)
     queries = np.flatnonzero((labels >= 0) & (size[np.maximum(labels, 0)] > 1))
     fields = [("ap", pa.float64()), ("r1", pa.int64()), ("p_at_k", pa.float64()), ("n_relevant", pa.int64()), ("ties", pa.int64()), ("valid_pairs", pa.int64())]
 
     def run(batches):
-        ids, labels, unit = held.value
+        ids, labels, x = held.value
         for b in batches:
             own = b.column(0).to_numpy()
             for i in range(0, len(own), block):
                 q = own[i : i + block]
-                d = 1 - unit[q] @ unit.T
+                d = 1 - x[q] @ x.T if distance is None else distance(ids[q], x[q], ids, x)
                 d = np.round(d, decimals) if decimals is not None else d.astype(np.float32).astype(np.float64)
                 s = score_block(d, q, labels, k)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), *(pa.array(s[f], t) for f, t in fields)], names=["query_idx", *(f for f, _ in fields)])
@@ -137,3 +141,23 @@ def score_vectors(items: DataFrame, pairs, k: int = 10, decimals: int | None = 6
     at = spark.createDataFrame(pa.table({"at": pa.array(queries, pa.int64())})) if len(queries) else spark.createDataFrame([], "at long")
     parts = max(1, min(spark.sparkContext.defaultParallelism, -(-len(queries) // block)))
     return at.repartition(parts).mapInArrow(run, "query_idx long, ap double, r1 long, p_at_k double, n_relevant long, ties long, valid_pairs long")
+
+
+def length_distance(_, own: np.ndarray, __, every: np.ndarray) -> np.ndarray:
+    """Differences of the one number that the rows have."""
+    return np.abs(own[:, :1] - every[:, 0][None, :])
+
+
+def random_distance(seed: int):
+    """The draw of similarity.random_pairs, by the same digest."""
+
+    def draw(own: np.ndarray, _, every: np.ndarray, __) -> np.ndarray:
+        from hashlib import md5
+
+        out = np.empty((len(own), len(every)))
+        for r, i in enumerate(own.tolist()):
+            before, after = f"{seed}:{i}:", f":{i}"
+            out[r] = [int(md5((before + str(j) if i < j else f"{seed}:{j}{after}").encode(), usedforsecurity=False).hexdigest()[:8], 16) for j in every.tolist()]
+        return out / float(1 << 32)
+
+    return draw

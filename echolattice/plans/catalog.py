@@ -146,13 +146,31 @@ def _scratch(spark: SparkSession, what: str) -> str:
 
 @query("random_floor", S.chain(S.RANDOM_PAIRS, S.RANKED, S.PER_QUERY) + S.SUMMARY)
 def random_floor(spark, sf_dir):
+    items = fixtures.items(spark, sf_dir).select("item_idx", "label", F.array().cast("array<double>").alias("vec"))
+    return evaluation.summarize(evaluation.score_vectors(items, similarity.random_pairs, decimals=12, distance=evaluation.random_distance(0)))
+
+
+@query("random_floor_pairs", S.chain(S.RANDOM_PAIRS, S.RANKED, S.PER_QUERY) + S.SUMMARY)
+def random_floor_pairs(spark, sf_dir):
+    """The same by the pair table."""
     return evaluation.evaluate(similarity.random_pairs(fixtures.items(spark, sf_dir), 0))
 
 
+def _durations(spark, sf_dir):
+    return fixtures.catalog(spark, sf_dir).select(F.col("perf_id").alias("item_idx"), F.col("clique_id").alias("label"), "n_frames")
+
+
 @query("duration_metrics", S.chain(S.CATALOG_BODY, S.DURATION_PAIRS, S.RANKED_ANSWERABLE, S.PER_QUERY) + S.SUMMARY)
 def duration_metrics(spark, sf_dir):
-    items = fixtures.catalog(spark, sf_dir).select(F.col("perf_id").alias("item_idx"), F.col("clique_id").alias("label"), "n_frames")
-    return evaluation.evaluate(registry.query_pairs(similarity.duration_pairs(items)))
+    items = _durations(spark, sf_dir).withColumn("vec", F.array(F.col("n_frames").cast("double")))
+    pairs = lambda x: registry.query_pairs(similarity.duration_pairs(x.withColumn("n_frames", F.get("vec", F.lit(0)))))
+    return evaluation.summarize(evaluation.score_vectors(items, pairs, distance=evaluation.length_distance))
+
+
+@query("duration_metrics_pairs", S.chain(S.CATALOG_BODY, S.DURATION_PAIRS, S.RANKED_ANSWERABLE, S.PER_QUERY) + S.SUMMARY)
+def duration_metrics_pairs(spark, sf_dir):
+    """The same by the pair table."""
+    return evaluation.evaluate(registry.query_pairs(similarity.duration_pairs(_durations(spark, sf_dir))))
 
 
 # ---- sequences ------------------------------------------------------------------------------------------------

@@ -24,7 +24,9 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as performances of their nation; n_frames is their number of weeks with shipments."""
-    weeks = cells(spark, sf_dir).groupBy("perf_id").agg(F.countDistinct("frame").alias("n_frames"))
+    shipped = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    week = F.floor(F.datediff(F.to_date("l_shipdate"), F.lit(EPOCH)) / 7)
+    weeks = shipped.groupBy(F.col("l_suppkey").alias("perf_id")).agg(F.countDistinct(week).alias("n_frames"))
     rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("perf_id"), F.col("s_nationkey").alias("clique_id"))
     return rows.join(weeks, "perf_id", "left")
 

@@ -69,11 +69,11 @@ def test_curve(spark):
 
 def test_cosine_pairs(spark):
     items = spark.createDataFrame([(0, "a", [1.0, 0.0]), (1, "a", [2.0, 0.0]), (2, "b", [0.0, 1.0]), (3, "b", [-1.0, 0.0]), (4, "b", [0.0, 0.0])], "item_idx long, label string, vec array<double>")
-    for rows in (512, 2):
-        d = {(r["query_idx"], r["item_idx"]): r["distance"] for r in similarity.cosine_pairs(items, rows=rows).collect()}
+    for groups in (None, 1, 3):
+        d = {(r["query_idx"], r["item_idx"]): r["distance"] for r in similarity.cosine_pairs(items, groups=groups).collect()}
         assert len(d) == 20 and all(d[i, j] == d[j, i] for i, j in d)
         assert (d[0, 1], d[0, 2], d[0, 3], d[0, 4]) == (0, 1, 2, 1)
-        near = similarity.nearest(similarity.cosine_pairs(items, top=2, rows=rows), 2).collect()
+        near = similarity.nearest(similarity.cosine_pairs(items, top=2, groups=groups), 2).collect()
         assert {r["item_idx"] for r in near if r["query_idx"] == 0} == {1, 2}
     r = similarity.cosine_pairs(items, queries=items.where("item_idx < 2"))
     assert r.count() == 10
@@ -83,3 +83,44 @@ def test_random_pairs_are_symmetric(spark):
     items = spark.range(40).selectExpr("id as item_idx", "id % 4 as label")
     d = {(r["query_idx"], r["item_idx"]): r["distance"] for r in similarity.random_pairs(items, 5).collect()}
     assert len(d) == 40 * 39 and all(d[i, j] == d[j, i] and 0 <= d[i, j] < 1 for i, j in d)
+
+
+def test_pairs_meet_once_whatever_the_groups(spark, monkeypatch):
+    """Of any number of items, groups and rows of a block: each unordered pair once, each ordered pair once, queries against items."""
+    import numpy as np
+
+    monkeypatch.setattr(similarity, "BLOCK", 3)
+    rng = np.random.default_rng(1)
+    rows = [(k * 7 % 41, "ab"[k % 2], rng.normal(size=12).tolist()) for k in range(23)]
+    items = spark.createDataFrame(rows, "item_idx long, label string, vec array<double>").repartition(3)
+    ids = sorted(r[0] for r in rows)
+    for groups in (1, 2, 5, 60):
+        half = [(r[0], r[1], r[2], r[3], r[4], r[5]) for r in similarity.upper_pairs(items, "vec", groups=groups).collect()]
+        assert sorted((q, i) for q, i, *_ in half) == [(q, i) for q in ids for i in ids if q < i]
+        about = {r[0]: r for r in rows}
+        assert all((a, b, v, w) == (about[q][1], about[i][1], about[q][2], about[i][2]) for q, i, a, v, b, w in half)
+        every = similarity.cosine_pairs(items, groups=groups).collect()
+        assert sorted((r["query_idx"], r["item_idx"]) for r in every) == [(q, i) for q in ids for i in ids if q != i]
+        some = similarity.cosine_pairs(items, items.where("item_idx < 9"), groups=groups).collect()
+        assert sorted((r["query_idx"], r["item_idx"]) for r in some) == [(q, i) for q in ids if q < 9 for i in ids]
+        steps = {(r["query_idx"], r["item_idx"]): r["steps"] for r in similarity.transposition_pairs(items, groups=groups).collect()}
+        assert steps == {(q, i): int(np.argmax([np.round(np.dot(about[q][2], np.roll(about[i][2], s)), 9) for s in range(12)])) for q in ids for i in ids if q < i}
+
+
+def test_plans_of_pairs_have_no_nested_loop(spark):
+    items = spark.range(1000).selectExpr("id as item_idx", "id % 7 as label", "array(cast(id as double)) as vec", "id as n_frames")
+    for pairs in (similarity.duration_pairs(items), similarity.random_pairs(items), similarity.cosine_pairs(items), similarity.transposition_pairs(items)):
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_scores_with_and_without_a_pair_table(spark):
+    rows = [(k, k % 9, [float(k * k % 17)]) for k in range(80)]
+    items = spark.createDataFrame(rows, "item_idx long, label long, vec array<double>")
+    table = {r["query_idx"]: r for r in ev.score_queries(similarity.random_pairs(items, 3)).collect()}
+    fused = {r["query_idx"]: r for r in ev.score_vectors(items, None, decimals=12, distance=ev.random_distance(3)).collect()}
+    assert set(table) == set(fused) and all(table[q][c] == fused[q][c] for q in table for c in ("r1", "n_relevant", "ties", "p_at_k"))
+    lengths = items.withColumn("n_frames", items["vec"][0])
+    table = {r["query_idx"]: r for r in ev.score_queries(similarity.duration_pairs(lengths)).collect()}
+    fused = {r["query_idx"]: r for r in ev.score_vectors(items, None, distance=ev.length_distance).collect()}
+    assert all(abs(table[q]["ap"] - fused[q]["ap"]) < 1e-12 and table[q]["ties"] == fused[q]["ties"] for q in table)
