@@ -1,8 +1,9 @@
 """Training of the embedding network, by gradient steps on shards and averages of their parameters.
 
-Every shard of the training sequences runs Adam over its own crops from the same parameters for an epoch; the shards'
-parameters, weighted by their numbers of crops, are the next epoch's. Nothing but parameters goes between driver and
-executors; a shard holds its own sequences. One shard is plain training. The loss is the cross-entropy of scaled cosines to a
+Every shard of the training sequences runs Adam over its own crops from the same parameters and moments for an epoch; the
+shards' parameters and moments, weighted by their numbers of crops, are the next epoch's, so that there is one optimiser from
+the first step to the last. Nothing but these goes between driver and executors; a shard holds its own sequences. One shard is
+plain training. A batch that isn't full is passed over, unless a shard has no other. The loss is the cross-entropy of scaled cosines to a
 weight vector of each class; the rate falls along half a cosine.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from echolattice.functions.sequences import PITCHES
 from echolattice.functions.workers import ship
 from echolattice.operators.evaluation import score_vectors, summarize
-from echolattice.operators.learned import EPSILON, KERNEL, LAYERS, crop, embed, initial
+from echolattice.operators.learned import EPSILON, KERNEL, LAYERS, crop, embed, initial, save
 from echolattice.operators.similarity import cosine_pairs
 
 SCALE, MOMENTUM = 30.0, 0.1
@@ -99,23 +100,33 @@ def loss_and_gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -
     return loss, accuracy, g, stats
 
 
-def adam_epoch(p: dict[str, np.ndarray], frames: list[np.ndarray], classes: np.ndarray, rate: float, length: int, batch: int, seed: int) -> tuple[dict[str, np.ndarray], float, float]:
-    """Parameters after one pass over shuffled crops, and the means of loss and accuracy."""
-    rng, p = np.random.default_rng(seed), dict(p)
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    order, losses, right = rng.permutation(len(frames)), [], []
-    for step, i in enumerate(range(0, len(order), batch), 1):
+def start(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """What an epoch begins with: parameters, and as `mean.` and `square.` Adam's moments of each, with the number of steps."""
+    return p | {f"mean.{k}": np.zeros_like(x) for k, x in p.items()} | {f"square.{k}": np.zeros_like(x) for k, x in p.items()} | {"steps": np.zeros(())}
+
+
+def parameters(state: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return {k: x for k, x in state.items() if k != "steps" and not k.startswith(("mean.", "square."))}
+
+
+def adam_epoch(state: dict[str, np.ndarray], frames: list[np.ndarray], classes: np.ndarray, rate: float, length: int, batch: int, seed: int) -> tuple[dict[str, np.ndarray], float, float]:
+    """The state after one pass over shuffled crops, and the means of loss and accuracy over those that were seen."""
+    rng, p = np.random.default_rng(seed), parameters(state)
+    m, v = ({k: state[f"{n}.{k}"] for k in p} for n in ("mean", "square"))
+    step, order, losses, right, seen = int(round(float(state["steps"]))), rng.permutation(len(frames)), 0.0, 0.0, 0
+    full = range(0, len(order) - batch + 1, batch) if len(order) >= batch else range(1)
+    for i in full:
         own = order[i : i + batch]
         x = np.stack([crop(frames[j], length, rng) for j in own])
         loss, accuracy, g, stats = loss_and_gradients(p, x, classes[own])
-        losses.append(loss * len(own))
-        right.append(accuracy * len(own))
+        losses, right, seen, step = losses + loss * len(own), right + accuracy * len(own), seen + len(own), step + 1
         for k, d in g.items():
             m[k] = BETA1 * m[k] + (1 - BETA1) * d
             v[k] = BETA2 * v[k] + (1 - BETA2) * d * d
             p[k] = p[k] - rate * (m[k] / (1 - BETA1**step)) / (np.sqrt(v[k] / (1 - BETA2**step)) + TINY)
         p |= stats
-    return p, sum(losses) / len(order), sum(right) / len(order)
+    moments = {f"mean.{k}": x for k, x in m.items()} | {f"square.{k}": x for k, x in v.items()}
+    return p | moments | {"steps": np.array(float(step))}, losses / seen, right / seen
 
 
 def _packed(p: dict[str, np.ndarray]) -> bytes:
@@ -129,11 +140,13 @@ def _unpacked(data: bytes) -> dict[str, np.ndarray]:
         return {k: z[k] for k in z.files}
 
 
-def train(rows: DataFrame, validation: DataFrame | None = None, dim: int = 256, width: int = 32, length: int = 400, epochs: int = 40, batch: int = 48, rate: float = 1e-3, shards: int = 1, every: int = 5, seed: int = 0, log=None) -> tuple[dict[str, np.ndarray], list[dict]]:
+def train(rows: DataFrame, validation: DataFrame | None = None, dim: int = 256, width: int = 32, length: int = 400, epochs: int = 40, batch: int = 48, rate: float = 1e-3, shards: int = 1, every: int = 5, seed: int = 0, log=None, checkpoint: str | None = None, target_rate: float = 5.0) -> tuple[dict[str, np.ndarray], list[dict]]:
     """The network's parameters and a line for each epoch.
 
     rows(clique_id, frames): classes are the cliques in order. validation(item_idx, label, frames): scored every so many
     epochs and after the last, and the parameters of the best score are returned; without it the last ones are.
+    checkpoint: a file that is written whenever a score is the best so far (without validation at the end), with sizes, the
+    rate of the frames (target_rate), the epoch and the score. Epochs count from 0.
     """
     ship(rows.sparkSession)
     names = [r[0] for r in rows.select("clique_id").distinct().orderBy("clique_id").collect()]  # a class each, as the head has
@@ -142,10 +155,15 @@ def train(rows: DataFrame, validation: DataFrame | None = None, dim: int = 256,
     number = rows.sparkSession.createDataFrame(list(zip(names, range(len(names)), strict=True)), rows.select("clique_id").schema.simpleString()[7:-1].replace(":", " ") + ", class int")
     held = rows.join(F.broadcast(number), "clique_id").select("class", F.flatten("frames").alias("flat")).repartition(shards).persist()
     head = np.random.default_rng(seed + 1).normal(size=(len(names), dim)) * 0.01
-    p, best, score, lines = initial(dim, width, seed) | {"head.weight": head}, None, -1.0, []
+    state, best, score, lines = start(initial(dim, width, seed) | {"head.weight": head}), None, -1.0, []
+
+    def keep(p: dict[str, np.ndarray], **about) -> None:
+        if checkpoint:
+            save(checkpoint, p, dim=dim, width=width, target_hz=target_rate, **about)
+
     for epoch in range(epochs):
         now = rate * (1 + np.cos(np.pi * epoch / epochs)) / 2
-        sent = rows.sparkSession.sparkContext.broadcast(_packed(p))
+        sent = rows.sparkSession.sparkContext.broadcast(_packed(state))
 
         def run(batches, sent=sent, now=now, epoch=epoch):
             from pyspark import TaskContext
@@ -161,15 +179,19 @@ def train(rows: DataFrame, validation: DataFrame | None = None, dim: int = 256,
         parts = held.mapInArrow(run, "p binary, n long, loss double, accuracy double").collect()  # a row for each shard
         total = sum(r["n"] for r in parts)
         each = [(_unpacked(bytes(r["p"])), r["n"] / total) for r in parts]
-        p = {k: sum(q[k] * w for q, w in each) for k in p}
+        state = {k: sum(q[k] * w for q, w in each) for k in state}
+        p = parameters(state)
         line = {"epoch": epoch, "loss": sum(r["loss"] * r["n"] for r in parts) / total, "accuracy": sum(r["accuracy"] * r["n"] for r in parts) / total}
         if validation is not None and ((epoch + 1) % every == 0 or epoch + 1 == epochs):
             line["map"] = summarize(score_vectors(embed(validation, F.col("frames"), p).select("item_idx", "label", "vec"), cosine_pairs)).first()["map"]
             if line["map"] > score:
                 best, score = p, line["map"]
+                keep(p, epoch=epoch, val_map=score)
         lines.append(line)
         if log:
             log(line)
         sent.unpersist()
     held.unpersist()
+    if best is None:
+        keep(p, epoch=epochs - 1)
     return best or p, lines

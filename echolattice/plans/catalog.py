@@ -128,6 +128,9 @@ query("collection_split", S.CATALOG + S.SPLIT + "SELECT row_number() OVER (ORDER
 query("collection_subsample", S.CATALOG + S.DRAWN + "SELECT row_number() OVER (ORDER BY clique_id, perf_id) - 1 AS item_idx, perf_id, clique_id FROM catalog JOIN drawn USING (clique_id) WHERE place <= 10")(_collection({"kind": "subsample", "n_cliques": 10, "seed": 0}))
 
 
+query("collection_train_val", S.CATALOG + S.SPLIT + "SELECT row_number() OVER (ORDER BY clique_id, perf_id) - 1 AS item_idx, perf_id, clique_id FROM catalog JOIN split USING (clique_id) WHERE split IN ('train', 'val')")(_collection({"kind": "split", "split": ["train", "val"], "seed": 0, "distractors": False}))
+
+
 @query("split_json_roundtrip", S.CATALOG + S.SPLIT + "SELECT clique_id::VARCHAR AS clique_id, split, 0::BIGINT AS seed FROM split")
 def split_json_roundtrip(spark, sf_dir):
     split = col.split_cliques(fixtures.catalog(spark, sf_dir)).withColumn("clique_id", F.col("clique_id").cast("string"))
@@ -203,10 +206,13 @@ for _how, _agg in (("mean", "avg(x)"), ("median", "median(x)"), ("max", "max(x)"
     query(f"downsample_{_how}", S.chain(S.DENSE) + f"SELECT perf_id, (frame // 4)::INTEGER AS block, pitch, round({_agg}, 6) AS x FROM dense WHERE frame // 4 < (SELECT n FROM axis) // 4 GROUP BY ALL HAVING round({_agg}, 6) <> 0")(_downsampled(_how))
 
 
-@query("downsample_rates", "SELECT * FROM (VALUES (5.0, 17), (2.0, 43), (100.0, 1)) t(target_hz, factor)")
+@query("downsample_rates", S.chain(S.DENSE) + "SELECT perf_id, target_hz, count(DISTINCT b) AS n_blocks, round(sum(x), 6) AS total FROM (SELECT perf_id, target_hz, frame // factor AS b, pitch, avg(x) AS x FROM dense, (VALUES (5.0::DOUBLE, 17), (2.0, 43), (100.0, 1)) t(target_hz, factor) WHERE frame // factor < (SELECT n FROM axis) // factor GROUP BY ALL) GROUP BY ALL")
 def downsample_rates(spark, sf_dir):
-    """Blocks that bring the native rate near others."""
-    return spark.createDataFrame([(t, seq.rate_factor(seq.NATIVE_RATE, t)) for t in (5.0, 2.0, 100.0)], "target_hz double, factor int")
+    """All performances, as if at the native rate, brought near other rates."""
+    frames = fixtures.frames(spark, sf_dir)
+    each = [frames.select("perf_id", F.lit(t).alias("target_hz"), seq.downsample(F.col("frames"), seq.rate_factor(seq.NATIVE_RATE, t)).alias("f")) for t in (5.0, 2.0, 100.0)]
+    rows = each[0].unionByName(each[1]).unionByName(each[2])
+    return rows.select("perf_id", "target_hz", F.size("f").cast("long").alias("n_blocks"), r6(seq.total(F.flatten("f"))).alias("total"))
 
 
 @query("transpose_roll", S.CELLS + "SELECT perf_id, frame, ((pitch + 5) % 12)::INTEGER AS pitch, round(x, 6) AS x FROM cells WHERE x <> 0")
@@ -258,6 +264,14 @@ def ftm2d_metrics(spark, sf_dir):
     return evaluation.summarize(_ftm2d_scores(spark, sf_dir))
 
 
+@query("ftm2d_defaults", S.chain(S.DENSE, S.ftm2d(False, 180, 60, 32), S.DESCRIPTOR_PAIRS, S.RANKED_ANSWERABLE, S.PER_QUERY) + S.SUMMARY)
+def ftm2d_defaults(spark, sf_dir):
+    """Patches of 180 frames every 60, 32 coefficients: the method's own parameters."""
+    items = fixtures.performances(spark, sf_dir)
+    vec = ftm2d.descriptors(items, seq.normalize_frames(F.col("frames"), "max")).select("item_idx", "label", "vec")
+    return evaluation.summarize(evaluation.score_vectors(vec, similarity.cosine_pairs))
+
+
 # ---- alignment ------------------------------------------------------------------------------------------------
 
 #: Weeks of a block, and frames of a state, of the alignment queries.
@@ -304,6 +318,68 @@ def typical_pair(spark, sf_dir):
     return near.select("query_idx", "item_idx", F.col("rank").cast("long").alias("rank"), F.col("median_rank").cast("long").alias("median_rank"), "distance")
 
 
+def _nearest_to_median(ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Relevant pairs, and the median of their ranks, cut to a whole number."""
+    relevant = ranked.where("rel = 1")
+    return relevant, relevant.agg(F.median("rank").cast("int").alias("median_rank"))
+
+
+def _typical_transposed(spark, sf_dir):
+    items = fixtures.performances(spark, sf_dir).withColumn("frames", seq.normalize_frames(F.col("frames"), "max"))
+    named = ftm2d.descriptors(items, F.col("frames"), length=32, hop=16, coefficients=8).select("item_idx", "label", "vec")
+    pairs = registry.query_pairs(similarity.cosine_pairs(named))
+    relevant, mid = _nearest_to_median(evaluation.rank_pairs(pairs))
+    steps = similarity.transposition_pairs(items.select("item_idx", "label", seq.profile(F.col("frames")).alias("vec"))).where("steps <> 0")
+    turned = steps.select("query_idx", "item_idx").unionByName(steps.select(F.col("item_idx").alias("query_idx"), F.col("query_idx").alias("item_idx")))
+    near = relevant.join(turned, ["query_idx", "item_idx"]).crossJoin(F.broadcast(mid)).orderBy(F.abs(F.col("rank") - F.col("median_rank")), "query_idx", "item_idx").limit(1)
+    counted = near.crossJoin(F.broadcast(named.agg((F.count("*") - 1).alias("n_neighbours"))))
+    return items, counted.select("query_idx", "item_idx", F.col("rank").cast("long").alias("rank"), F.col("median_rank").cast("long").alias("median_rank"), "distance", "n_neighbours")
+
+
+_TYPICAL = S.chain(S.DENSE, S.ftm2d(), S.DESCRIPTOR_PAIRS, S.RANKED_ANSWERABLE, S.NORMAL, S.PROFILE.replace("FROM dense", "FROM normal"), S.OTI) + S.TYPICAL_TRANSPOSED
+
+
+@query("typical_transposed_pair", _TYPICAL)
+def typical_transposed_pair(spark, sf_dir):
+    """Of the relevant pairs by descriptor that differ by a transposition, the one whose rank is nearest the median rank of all relevant pairs."""
+    return _typical_transposed(spark, sf_dir)[1]
+
+
+@query("invariance_pair", _TYPICAL.replace("SELECT * FROM typical", "SELECT query_idx, item_idx, 0.0::DOUBLE AS drift, distance FROM typical"))
+def invariance_pair(spark, sf_dir):
+    """That pair's query against itself rolled by 5, which is at no distance, and against the cover, which is at some."""
+    items, pair = _typical_transposed(spark, sf_dir)
+    how = {"length": 32, "hop": 16, "coefficients": 8}
+    rows = items.select(F.col("item_idx").alias("query_idx"), "frames").join(F.broadcast(pair), "query_idx").select("query_idx", "item_idx", "distance", "frames")
+    a = ftm2d.descriptors(rows, F.col("frames"), **how)
+    b = ftm2d.descriptors(a.withColumnRenamed("vec", "one"), seq.transpose(F.col("frames"), 5), **how)
+    return b.select("query_idx", "item_idx", r6(F.greatest(F.lit(0.0), 1 - seq.dot(F.col("one"), F.col("vec")))).alias("drift"), "distance")
+
+
+_QMAX_SQL = (S.DENSE, S.states(WEEKS, STATE), S.PROFILE.replace("FROM dense", "FROM coarse"), S.OTI, S.qmax())
+
+
+@query("qmax_example", S.chain(*_QMAX_SQL, S.RANKED_ANSWERABLE) + S.EXAMPLE)
+def qmax_example(spark, sf_dir):
+    """By alignment: the relevant pair nearest the median rank, and for its query the middle one of the strangers at a finite distance."""
+    from pyspark.sql import Window
+
+    pairs = registry.saved_pairs(spark, _scratch(spark, "distances"), "qmax", lambda: qmax.qmax_pairs(_sequences(spark, sf_dir)))
+    relevant, mid = _nearest_to_median(evaluation.rank_pairs(registry.query_pairs(pairs)))
+    cover = relevant.crossJoin(F.broadcast(mid)).orderBy(F.abs(F.col("rank") - F.col("median_rank")), "query_idx", "item_idx").limit(1)
+    cover = cover.select("query_idx", F.col("item_idx").alias("cover_idx"), F.col("distance").alias("cover_distance"), F.col("rank").cast("long").alias("cover_rank"), F.col("median_rank").cast("long").alias("median_rank"))
+    others = pairs.join(F.broadcast(cover.select("query_idx")), "query_idx").where("query_label <> item_label").where(seq.is_finite(F.col("distance")))
+    own = Window.partitionBy("query_idx")
+    placed = others.withColumns({"at": F.row_number().over(own.orderBy("distance", "item_idx")), "n": F.count("*").over(own)}).where(F.col("at") == F.floor(F.col("n") / 2) + 1)
+    return cover.join(placed.select("query_idx", F.col("item_idx").alias("stranger_idx"), F.col("distance").alias("stranger_distance")), "query_idx")
+
+
+@query("map_by_collection", S.BARS)
+def map_by_collection(spark, sf_dir):
+    rows = spark.sql(f"SELECT * FROM VALUES {S.REPORT_ROWS} AS t(run_name, method, kind, n_items, n_queries, map, mr1, p_at_k, tie_fraction)")
+    return results.bars(rows.withColumn("map", F.col("map").cast("double")))
+
+
 @query("median_stranger", S.chain(S.E_PAIRS, S.RANKED) + S.STRANGER)
 def median_stranger(spark, sf_dir):
     """For each query the middle one of the items of other labels at a finite distance."""
@@ -365,7 +441,8 @@ def pair_export_json(spark, sf_dir):
     a = first.where("place = 1").orderBy(F.desc("is_query"), "clique_id").limit(1)
     other = first.join(F.broadcast(a.select(F.col("clique_id").alias("own"), F.col("perf_id").alias("me"))), F.col("perf_id") != F.col("me"))
     mate = other.where("clique_id = own").orderBy("place").limit(1).withColumn("kind", F.lit("mate"))
-    stranger = other.where("clique_id <> own").orderBy("clique_id", "place").limit(1).withColumn("kind", F.lit("stranger"))
+    # singletons first, where there are any
+    stranger = other.where("clique_id <> own").orderBy("is_query", "clique_id", "place").limit(1).withColumn("kind", F.lit("stranger"))
     both = mate.unionByName(stranger).select("kind", F.col("perf_id").alias("b"), F.col("coarse").alias("y"))
     pair = both.crossJoin(F.broadcast(a.select(F.col("perf_id").alias("a"), F.col("coarse").alias("x"))))
     unit = lambda f: F.transform(f, seq.l2_normalize)
@@ -376,24 +453,64 @@ def pair_export_json(spark, sf_dir):
     return out.select("kind", "a", "b", F.to_json(F.struct(shown(F.col("x")).alias("x"), shown(F.col("y")).alias("y"), F.flatten("s").alias("similarity"), F.transform(F.filter(cells, lambda c: c["x"] >= 0.95), lambda c: F.array(c["i"], c["j"])).alias("matches"))).alias("json"))
 
 
-@query("crp_density")
+def _plots(spark, sf_dir, pairs: DataFrame) -> DataFrame:
+    """pairs(query_idx, item_idx, ...) with the sequences of both; they come by two joins on the ids."""
+    held = _sequences(spark, sf_dir).select("item_idx", F.flatten("states").alias("s"), F.size("states").alias("n"))
+    left, right = (held.select(F.col("item_idx").alias(k), F.col("s").alias(f"s{i}"), F.col("n").alias(f"n{i}")) for i, k in enumerate(("query_idx", "item_idx")))
+    return pairs.repartition(F.xxhash64("query_idx", "item_idx")).join(left, "query_idx").join(right, "item_idx")
+
+
+def _plot(x, n, y, m):
+    import numpy as np
+
+    return qmax.recurrence(np.asarray(x).reshape(n, -1), np.asarray(y).reshape(m, -1))
+
+
+@query(
+    "crp_density",
+    S.chain(S.DENSE, S.states(WEEKS, STATE), S.recurrence("SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey"))
+    + ", shares AS (SELECT a, b, avg(hit::INTEGER) AS density FROM cells_hit GROUP BY a, b) SELECT p.s_nationkey = q.s_nationkey AS same_clique, round(avg(density), 6) AS density, count(*) AS pairs FROM shares JOIN supplier p ON p.s_suppkey = a JOIN supplier q ON q.s_suppkey = b GROUP BY 1",
+)
 def crp_density(spark, sf_dir):
     """Share of matching cells of every pair's plot, without transposition, and of all pairs by whether their cliques agree."""
-    import numpy as np
     import pandas as pd
 
     ship(spark)
-    items = _sequences(spark, sf_dir).select("item_idx", "label", F.flatten("states").alias("s"), F.size("states").alias("n"))
-    pairs = similarity.upper_pairs(items, "s", "n")
+    ids = similarity.upper_pairs(fixtures.performances(spark, sf_dir).select("item_idx", "label"))
 
     @F.pandas_udf("double")
     def share(a, m, b, n):
-        return pd.Series([float(qmax.recurrence(np.asarray(x).reshape(i, -1), np.asarray(y).reshape(j, -1)).mean()) for x, i, y, j in zip(a, m, b, n, strict=True)])
+        return pd.Series([float(_plot(*p).mean()) for p in zip(a, m, b, n, strict=True)])
 
-    each = pairs.repartition(F.xxhash64("query_idx", "item_idx")).withColumn("density", share("query_s", "query_n", "item_s", "item_n"))
+    each = _plots(spark, sf_dir, ids).withColumn("density", share("s0", "n0", "s1", "n1"))
     return each.groupBy((F.col("query_label") == F.col("item_label")).alias("same_clique")).agg(r6(F.avg("density")).alias("density"), F.count("*").alias("pairs"))
 
 
+@query(
+    "crp_cells",
+    S.chain(S.DENSE, S.states(WEEKS, STATE), S.recurrence("SELECT s_suppkey AS a, next AS b FROM (SELECT s_suppkey, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS next FROM supplier) WHERE next IS NOT NULL"))
+    + "SELECT a AS query_idx, b AS item_idx, i, j::INTEGER AS j FROM cells_hit WHERE hit",
+)
+def crp_cells(spark, sf_dir):
+    """The matching cells of the plots of each performance and the next of its clique, as a scatter shows them."""
+    from pyspark.sql import Window
+
+    ship(spark)
+    names = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    following = F.lead("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    ids = names.select(F.col("s_suppkey").alias("query_idx"), following.alias("item_idx")).where("item_idx is not null")
+
+    @F.pandas_udf("array<struct<i: int, j: int>>")
+    def cells(a, m, b, n):
+        import numpy as np
+        import pandas as pd
+
+        return pd.Series([[{"i": int(i), "j": int(j)} for i, j in np.argwhere(_plot(*p))] for p in zip(a, m, b, n, strict=True)])
+
+    hit = _plots(spark, sf_dir, ids).select("query_idx", "item_idx", F.explode(cells("s0", "n0", "s1", "n1")).alias("c"))
+    return hit.select("query_idx", "item_idx", "c.i", "c.j")
+
+
 @query("synthetic_corpus")
 def synthetic_corpus(spark, sf_dir):
     """A made-up collection's scores by three methods."""

@@ -106,23 +106,29 @@ patches AS (
   FROM dense JOIN range((SELECT (n - 32) // 16 + 1 FROM axis)) p(k) ON frame >= 16 * k AND frame < 16 * k + 32)"""
 
 
-def ftm2d(drop_dc: bool = False) -> str:
+def ftm2d(drop_dc: bool = False, length: int = 32, hop: int = 16, coefficients: int = 8) -> str:
     """Descriptors of dense: greatest value, square root, patches, the discrete Fourier transform by pitch, then by time, medians."""
+    angle = f"2 * pi() * t * u / {length}"
     return f"""
 scaled AS (SELECT perf_id, frame, pitch, CASE WHEN n > 1e-9 THEN sqrt(x / n) ELSE 0 END AS x FROM (SELECT *, max(x) OVER (PARTITION BY perf_id, frame) AS n FROM dense)),
 by_pitch AS (
   SELECT perf_id, frame, v, sum(x * cos(2 * pi() * pitch * v / 12)) AS re, -sum(x * sin(2 * pi() * pitch * v / 12)) AS im
   FROM scaled, range(7) t(v) GROUP BY ALL),
 windows AS (
-  SELECT perf_id, k, frame - 16 * k AS t, v, re, im
-  FROM by_pitch JOIN range((SELECT (n - 32) // 16 + 1 FROM axis)) p(k) ON frame >= 16 * k AND frame < 16 * k + 32),
+  SELECT perf_id, k, frame - {hop} * k AS t, v, re, im
+  FROM by_pitch JOIN range((SELECT (n - {length}) // {hop} + 1 FROM axis)) p(k) ON frame >= {hop} * k AND frame < {hop} * k + {length}),
 spectra AS (
-  SELECT perf_id, k, u, v, sqrt(pow(sum(re * cos(2 * pi() * t * u / 32) + im * sin(2 * pi() * t * u / 32)), 2) + pow(sum(im * cos(2 * pi() * t * u / 32) - re * sin(2 * pi() * t * u / 32)), 2)) AS m
-  FROM windows, range(8) r(u) GROUP BY ALL),
+  SELECT perf_id, k, u, v, sqrt(pow(sum(re * cos({angle}) + im * sin({angle})), 2) + pow(sum(im * cos({angle}) - re * sin({angle})), 2)) AS m
+  FROM windows, range({coefficients}) r(u) GROUP BY ALL),
 middles AS (SELECT perf_id, (u * 7 + v)::INTEGER AS bin, {"CASE WHEN u * 7 + v = 0 THEN 0 ELSE median(m) END" if drop_dc else "median(m)"} AS x FROM spectra GROUP BY perf_id, u, v),
 descriptor AS (SELECT perf_id, bin, x / greatest(sqrt(sum(x * x) OVER (PARTITION BY perf_id)), 1e-9) AS x FROM middles)"""
 
 
+#: Frames over their greatest value.
+NORMAL = """
+normal AS (SELECT perf_id, frame, pitch, CASE WHEN n > 1e-9 THEN x / n ELSE 0 END AS x FROM (SELECT *, max(x) OVER (PARTITION BY perf_id, frame) AS n FROM dense))"""
+
+
 DESCRIPTOR_PAIRS = """
 vecs AS (SELECT perf_id, s_nationkey AS label, list(x ORDER BY bin) AS e FROM descriptor JOIN supplier ON s_suppkey = perf_id GROUP BY ALL),
 pairs AS (
@@ -169,6 +175,16 @@ pairs AS (
   FROM one_way f JOIN one_way r ON f.a = r.b AND f.b = r.a JOIN supplier p ON p.s_suppkey = f.a JOIN supplier q ON q.s_suppkey = f.b)"""
 
 
+def recurrence(pairs: str, kappa: float = 0.095) -> str:
+    """cells: (a, b, i, j, hit) of the plots of pairs (a, b), without transposition."""
+    return f"""
+chosen AS ({pairs}),
+apart AS (SELECT a, b, x.i, y.i AS j, list_distance(x.s, y.s) AS d FROM chosen JOIN states x ON x.perf_id = a JOIN states y ON y.perf_id = b),
+near_row AS (SELECT a, b, i, quantile_cont(d, {kappa}) AS q FROM apart GROUP BY ALL),
+near_col AS (SELECT a, b, j, quantile_cont(d, {kappa}) AS q FROM apart GROUP BY ALL),
+cells_hit AS (SELECT a, b, i, j, d <= r.q AND d <= c.q AS hit FROM apart JOIN near_row r USING (a, b, i) JOIN near_col c USING (a, b, j))"""
+
+
 def _plot(name: str, n: int, cells) -> str:
     return f"('{name}', '{'/'.join(''.join('1' if (i, j) in cells else '0' for j in range(n)) for i in range(n))}')"
 
@@ -215,6 +231,21 @@ SELECT plot, max(e.best) AS score, max(u.best) AS unequal FROM even e JOIN uneve
 TYPICAL = """
 , relevant AS (SELECT * FROM ranked WHERE rel = 1), mid AS (SELECT floor(median(rank))::BIGINT AS m FROM relevant)
 SELECT query_idx, item_idx, rank, m AS median_rank, distance FROM relevant, mid ORDER BY abs(rank - m), query_idx, item_idx LIMIT 1"""
+#: Of relevant pairs that differ by a transposition, the one nearest the median rank of all.
+TYPICAL_TRANSPOSED = """
+, relevant AS (SELECT * FROM ranked WHERE rel = 1), mid AS (SELECT floor(median(rank))::BIGINT AS m FROM relevant),
+typical AS (
+  SELECT query_idx, item_idx, rank, m AS median_rank, distance, (SELECT count(*) - 1 FROM vecs) AS n_neighbours
+  FROM relevant JOIN oti ON a = query_idx AND b = item_idx AND steps <> 0, mid ORDER BY abs(rank - m), query_idx, item_idx LIMIT 1)
+SELECT * FROM typical"""
+#: The relevant pair nearest the median rank, and for its query the middle one of the strangers.
+EXAMPLE = """
+, relevant AS (SELECT * FROM ranked WHERE rel = 1), mid AS (SELECT floor(median(rank))::BIGINT AS m FROM relevant),
+typical AS (SELECT query_idx, item_idx AS cover_idx, distance AS cover_distance, rank AS cover_rank, m AS median_rank FROM relevant, mid ORDER BY abs(rank - m), query_idx, item_idx LIMIT 1),
+strangers AS (
+  SELECT p.item_idx, p.distance, row_number() OVER (ORDER BY p.distance, p.item_idx) AS k, count(*) OVER () AS n
+  FROM pairs p JOIN typical t ON p.query_idx = t.query_idx WHERE query_label <> item_label AND isfinite(p.distance))
+SELECT t.*, s.item_idx AS stranger_idx, s.distance AS stranger_distance FROM typical t, strangers s WHERE k = n // 2 + 1"""
 STRANGER = """
 , strangers AS (
   SELECT query_idx, item_idx, distance, row_number() OVER (PARTITION BY query_idx ORDER BY distance, item_idx) AS k, count(*) OVER (PARTITION BY query_idx) AS n
@@ -240,6 +271,14 @@ SELECT collection, run_name, method, regexp_replace(run_name, '(_full|_sub50|_te
        tie_fraction::DOUBLE AS tie_fraction, floor::DOUBLE AS floor, coalesce(method <> 'random' AND map <= floor, false) AS at_floor
 FROM g LEFT JOIN f USING (collection)"""
 
+#: Runs of a report by the fixed order of collections, bars from the lowest score up, with the floor of each.
+BARS = f"""
+WITH t AS (SELECT * FROM (VALUES {REPORT_ROWS}) t(run_name, method, kind, n_items, n_queries, map, mr1, p_at_k, tie_fraction)),
+f AS (SELECT kind, arg_min(map, run_name) AS floor FROM t WHERE method = 'random' GROUP BY 1)
+SELECT list_position(['full', 'split', 'subsample'], kind)::INTEGER AS panel, kind, row_number() OVER (PARTITION BY kind ORDER BY map, run_name)::INTEGER AS bar,
+       regexp_replace(run_name, '(_full|_sub50|_test)$', '') AS label, map::DOUBLE AS map, floor::DOUBLE AS floor
+FROM t LEFT JOIN f USING (kind)"""
+
 METADATA = '{"W_1": {"P_1": {"work_title": "One", "perf_artist": "A", "work_id": "W_1", "perf_id": "P_1"}, "P_2": {"work_title": "One", "work_id": "W_1", "perf_id": "P_2"}}, "W_9": {"P_9": {"perf_artist": "C"}}}'
 FILES = ["/raw/hpcp/W_1_hpcp/P_1_hpcp.h5", "/raw/hpcp/W_1_hpcp/P_2_hpcp.h5", "/raw/hpcp/W_9_hpcp/P_9_hpcp.h5"]
 MANIFEST = f"""

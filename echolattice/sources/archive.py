@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from echolattice.functions.sequences import PITCHES, downsample, md5_key, normalize_frames, rate_factor, roll
+from echolattice.sources import files
 
 #: Features and the names of their directories and files; fixed by the archive's layout.
 FEATURES = {"hpcp": "hpcp", "crema": "crema", "cens": "cens"}
@@ -48,16 +49,16 @@ def list_files(spark: SparkSession, raw: str, feature: str) -> DataFrame:
     return found.select(clique.alias("clique_id"), perf.alias("perf_id"), "path")
 
 
-def catalog(files: DataFrame, metadata: DataFrame, check: bool = True) -> DataFrame:
+def catalog(found: DataFrame, metadata: DataFrame, check: bool = True) -> DataFrame:
     """Files with their metadata, missing titles and artists as "". check: a file or a performance without the other is an error."""
     key = ["clique_id", "perf_id"]
     if check:
-        for a, b, what in ((files, metadata, "files without metadata"), (metadata, files, "metadata without file")):
+        for a, b, what in ((found, metadata, "files without metadata"), (metadata, found, "metadata without file")):
             if left := a.join(b, key, "left_anti").select(*key).limit(3).collect():
                 raise ValueError(f"{what}: {[tuple(r) for r in left]}")
     blank = [F.coalesce(c, F.lit("")).alias(c) for c in ("work_title", "perf_artist")]
-    own = [F.col("n_frames")] if "n_frames" in files.columns else []
-    return files.join(metadata, key).select("perf_id", "clique_id", "path", *blank, *own)
+    own = [F.col("n_frames")] if "n_frames" in found.columns else []
+    return found.join(metadata, key).select("perf_id", "clique_id", "path", *blank, *own)
 
 
 def cached_catalog(spark: SparkSession, path: str, build) -> DataFrame:
@@ -89,6 +90,21 @@ def check_frames(x: np.ndarray, where: str) -> np.ndarray:
     return x
 
 
+def open_feature_file(path: str):
+    """An HDF5 file on this machine by its plain path or file: URI; another by its bytes, from the file system that its scheme names."""
+    import io
+
+    import h5py
+
+    if (own := files.local(path)) is not None:
+        return h5py.File(own, "r")
+    from pyarrow import fs
+
+    system, inside = fs.FileSystem.from_uri(path)
+    with system.open_input_file(inside) as f:
+        return h5py.File(io.BytesIO(f.read()), "r")
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -102,9 +118,7 @@ class _Reader(DataSourceReader):
         return [_File(p) for p in self.paths]
 
     def read(self, partition):
-        import h5py
-
-        with h5py.File(partition.path, "r") as f:
+        with open_feature_file(partition.path) as f:
             if self.feature not in f:
                 raise KeyError(f"{partition.path}: no dataset {self.feature}")
             if self.counts:

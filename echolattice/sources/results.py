@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 import platform
 import subprocess
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from echolattice.sources import files
+
 RESULT = (
     "run_name string, method string, seed long, git struct<sha: string, dirty: boolean>, config string, "
     "collection struct<kind: string, n_items: long, n_cliques: long, n_queries: long, spec: string>, timings_sec map<string, double>, "
@@ -18,10 +19,18 @@ RESULT = (
 )
 
 
-def load_runs(path: str) -> dict[str, dict]:
+def _groups(path: str, spark: SparkSession | None) -> dict[str, list[dict]]:
+    return {k: group for k, group in json.loads(files.read_bytes(path, spark)).items() if not k.startswith("_")}
+
+
+def load_runs(path: str, spark: SparkSession | None = None) -> dict[str, dict]:
     """Configurations by name: the groups of a JSON file in a row, keys that begin with _ passed over."""
-    groups = json.loads(Path(path).read_text())
-    return {c["name"]: c for k, group in groups.items() if not k.startswith("_") for c in group}
+    return {c["name"]: c for group in _groups(path, spark).values() for c in group}
+
+
+def load_groups(path: str, spark: SparkSession | None = None) -> dict[str, list[str]]:
+    """Names of the configurations of each group."""
+    return {k: [c["name"] for c in group] for k, group in _groups(path, spark).items()}
 
 
 def provenance(root: str = ".") -> dict:
@@ -35,12 +44,11 @@ def environment(spark: SparkSession) -> dict:
     return {"python": platform.python_version(), "spark": spark.version, "platform": platform.platform()}
 
 
-def write_result(folder: str, payload: dict) -> str:
-    """One JSON file a run."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    path = Path(folder) / f"{payload['run_name']}.json"
-    path.write_text(json.dumps(payload, indent=2, sort_keys=True))
-    return str(path)
+def write_result(folder: str, payload: dict, spark: SparkSession | None = None) -> str:
+    """One JSON file a run, through Spark's file systems if folder has a scheme."""
+    path = f"{folder.rstrip('/')}/{payload['run_name']}.json"
+    files.write_bytes(path, json.dumps(payload, indent=2, sort_keys=True).encode(), spark)
+    return path
 
 
 def read_results(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,6 +84,20 @@ def report(results: DataFrame) -> DataFrame:
     return named.withColumn("at_floor", at_floor).select("collection", "run_name", "method", "label", "map", "mr1", "p_at_k", "tie_fraction", "floor", "at_floor").orderBy("collection", F.desc("map"), "run_name")
 
 
+#: Panels of a report, in this order; other kinds come last.
+COLLECTION_ORDER = ("full", "split", "subsample")
+
+
+def bars(results: DataFrame) -> DataFrame:
+    """(panel, kind, bar, label, map, floor): runs by the fixed order of collections, from the lowest score up; floor as in report()."""
+    own = Window.partitionBy("kind")
+    floor = F.min(F.when(F.col("method") == "random", F.struct("run_name", "map"))).over(own)["map"]
+    place = F.array_position(F.array(*map(F.lit, COLLECTION_ORDER)), F.col("kind"))
+    panel = F.when(place > 0, place).otherwise(len(COLLECTION_ORDER) + 1).cast("int")
+    bar = F.row_number().over(own.orderBy("map", "run_name"))
+    return results.select(panel.alias("panel"), "kind", bar.alias("bar"), method_label(F.col("run_name")).alias("label"), "map", floor.alias("floor")).orderBy("panel", "bar")
+
+
 def markdown(rows: list) -> str:
     """A table for each collection."""
     out, last = [], None
