@@ -66,6 +66,76 @@ def test_any_columns(spark, scratch):
     assert len(rows := out.collect()) == 20 and all(tuple(r)[4:24] == tuple(names) for r in rows)
 
 
+def plain_shares(budget, nodes):
+    """Tokens of each name from {name: (weight, room)}: the water level at which all of the budget is given, by fractions."""
+    from fractions import Fraction
+
+    budget = min(budget, sum(room for _, room in nodes.values()))
+    names, used, out = sorted(nodes, key=lambda n: (Fraction(nodes[n][1], nodes[n][0]), n)), 0, {}
+    while names and (level := Fraction(budget - used, sum(nodes[n][0] for n in names))) * nodes[names[0]][0] >= nodes[names[0]][1]:
+        out[names[0]] = nodes[names[0]][1]
+        used += out[names.pop(0)]
+    if names:
+        exact = {n: level * nodes[n][0] for n in names}
+        out |= {n: int(x) for n, x in exact.items()}
+        for n in sorted(names, key=lambda n: (-(exact[n] - int(exact[n])), n))[: budget - used - sum(int(x) for x in exact.values())]:
+            out[n] += 1
+    return out
+
+
+def plain_mix(rows, share, epochs, seed=23):
+    """(doc_id, epoch) of rows (doc_id, text, lang, source), with budgets, places and prefixes worked out here."""
+    from hashlib import md5
+
+    def leaf(r):
+        m = re.search("([0-9]{1,9})$", r[3] or "")
+        return f"domain{int(m[1]) % 4 if m else 0}", r[2] or "(none)", r[3] or "(none)"
+
+    count = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
+    own, budgets = defaultdict(list), {}
+    for r in rows:
+        own[leaf(r)].append(r)
+    sizes = {k: sum(map(count, v)) for k, v in own.items()}
+
+    def down(path, tokens):
+        if len(path) == 3:
+            budgets[path] = tokens
+            return
+        below = {x[len(path)] for x in sizes if x[: len(path)] == path}
+        weights = mixing.WEIGHTS.get(("domain", "lang", "source")[len(path)], {})
+        nodes = {n: (weights.get(n, 1), epochs * sum(z for x, z in sizes.items() if x[: len(path) + 1] == (*path, n))) for n in below}
+        for n, t in plain_shares(tokens, nodes).items():
+            down((*path, n), t)
+
+    down((), sum(sizes.values()) * share // 100)
+    out = Counter()
+    for k, docs in own.items():
+        whole, rest = divmod(budgets[k], sizes[k]) if sizes[k] else (1, 0)
+        out.update((r[0], e) for e in range(whole) for r in docs)
+        place = lambda r: int(md5(f"{seed}:{whole}:{'null' if r[0] is None else r[0]}:{md5((r[1] or '').encode()).hexdigest()}".encode()).hexdigest()[:8], 16) >> 1  # noqa: E731, B023
+        run = 0
+        for r in sorted(docs, key=lambda r: (place(r), r[0] is not None, r[0] or 0)):
+            run += count(r)
+            if rest and run <= rest:
+                out[r[0], whole] += 1
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 10_000), st.lists(st.tuples(st.integers(1, 9), st.integers(1, 3_000)), min_size=1, max_size=8))
+def test_split_like_a_water_level(budget, nodes):
+    want = plain_shares(budget, {f"{k}": n for k, n in enumerate(nodes)})
+    assert mixing.split_budget(budget, [a for a, _ in nodes], [b for _, b in nodes]) == [want[f"{k}"] for k in range(len(nodes))]
+
+
+def test_against_a_plain_version(spark, docs, scratch):
+    rows = docs.dropDuplicates(["doc_id", "text"])
+    held = [tuple(r) for r in rows.select("doc_id", "text", "lang", "source").collect()]
+    for share, epochs in ((90, 1), (60, 2), (250, 3), (0, 1)):
+        got = mixing.mix(rows, scratch, mixing.domain_of(F.col("source")), share=share, epochs=epochs).collect()
+        assert Counter((r["doc_id"], r["_epoch"]) for r in got) == plain_mix(held, share, epochs)
+
+
 def test_no_rows(no_docs, scratch):
     assert mixing.mix(no_docs, scratch, mixing.domain_of(F.col("source"))).count() == 0
 

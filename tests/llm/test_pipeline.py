@@ -106,3 +106,45 @@ def test_any_columns(spark, tmp_path):
         rows = wide.collect()
         assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in plain.collect())
         assert all(r[c] == f"{c}:{r['doc_id']}" for r in rows for c in INSIDE)
+
+
+def test_quality_mixing_and_packing_against_plain_versions(spark, tmp_path):
+    """The three stages on the smallest tables: a classifier in NumPy, prefixes worked out by hand, and the plain tokenizer's ids."""
+    import zlib
+    from collections import defaultdict
+
+    import corpus_pipeline as cp
+    import numpy as np
+    from echolattice.llm import quality_classifier as qc
+    from echolattice.llm.common import tokenizer_path
+    from test_mixing import plain_mix
+    from test_quality import plain_scores
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    table = qc.views(docs).collect()
+    scores = plain_scores(table, {r["doc_id"]: r["quality"] for r in labels.collect()})
+    want = {r["doc_id"] for r, s in zip(table, scores, strict=True) if s >= qc.KEEP}
+    near = {r["doc_id"] for r, s in zip(table, scores, strict=True) if abs(s - qc.KEEP) < 0.005}
+    got = {r["doc_id"] for r in cp.quality(spark, docs, sf).collect()}
+    assert (got ^ want) <= near and got
+
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect()]
+    mixed = cp.mixture(spark, docs, sf)
+    assert sorted(r["doc_id"] for r in mixed.collect()) == sorted(i for (i, _), n in plain_mix(rows, cp.MIX_SHARE, cp.MIX_EPOCHS).items() for _ in range(n))
+
+    plain, pieces, sequences = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")), defaultdict(list), defaultdict(list)
+    for r in cp.pack(spark, docs, sf).collect():
+        pieces[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert set(pieces) == {i for i, *_ in rows}
+    for i, t, *_ in rows:
+        ids, at = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 1], "<u4"), 0
+        for r in sorted(pieces[i], key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    for own in sequences.values():
+        own.sort()
+        assert [a for a, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 2048

@@ -34,6 +34,28 @@ def test_added_tokens(kind):
     assert plain.token_to_id("<|endoftext|>") in ids
 
 
+def test_added_tokens_through_the_queries(spark, tmp_path):
+    """Both queries on documents with the strings of added tokens, against the library as it comes from the file."""
+    from echolattice.llm import packing
+    from tokenizers import Tokenizer
+
+    texts = ["<|endoftext|>", "a<|startoftext|>b", "x <|endoftext|> <|endoftext|>y\n<|endoftext|>", "<|endoftext", "plain text", " <|startoftext|> ", "w<|endoftext|>" * 2000, None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for kind, end, query in ((ByteLevel, 1, packing.op6_cutting_stock), (WordLevel, 2, token_files.op7_simple8b_files)):
+        plain = Tokenizer.from_file(KINDS[kind])
+        ids = [np.array([*plain.encode(t or "", add_special_tokens=False).ids, end], "<u4") for t in texts]
+        assert any(plain.token_to_id("<|endoftext|>") in x for x in ids)
+        rows = query(spark, str(tmp_path)).collect()
+        if kind is WordLevel:
+            start = np.cumsum([0, *map(len, ids)])
+            assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in rows) == [(i, start[i], len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids)]
+            continue
+        assert sum(r["length"] for r in rows) == sum(map(len, ids))
+        for r in rows:
+            own = ids[r["doc_id"]]
+            assert r["doc_tokens"] == len(own) and r["ids_crc32"] == zlib.crc32(own[r["start"] : r["start"] + r["length"]].tobytes())
+
+
 @pytest.mark.parametrize("kind", list(KINDS))
 def test_long_words(kind):
     own, library = HELD[kind]
