@@ -473,17 +473,9 @@ def _plot(x, n, y, m):
 )
 def crp_density(spark, sf_dir):
     """Share of matching cells of every pair's plot, without transposition, and of all pairs by whether their cliques agree."""
-    import pandas as pd
-
-    ship(spark)
-    ids = similarity.upper_pairs(fixtures.performances(spark, sf_dir).select("item_idx", "label"))
-
-    @F.pandas_udf("double")
-    def share(a, m, b, n):
-        return pd.Series([float(_plot(*p).mean()) for p in zip(a, m, b, n, strict=True)])
-
-    each = _plots(spark, sf_dir, ids).withColumn("density", share("s0", "n0", "s1", "n1"))
-    return each.groupBy((F.col("query_label") == F.col("item_label")).alias("same_clique")).agg(r6(F.avg("density")).alias("density"), F.count("*").alias("pairs"))
+    rows = _sequences(spark, sf_dir).select("item_idx", "label", qmax.packed(F.col("states"), F.col("profile")).alias("vec"))
+    each = similarity.sequence_pairs(rows, lambda a, b: float(qmax.recurrence(qmax.unpacked(a)[0], qmax.unpacked(b)[0]).mean()))
+    return each.groupBy((F.col("query_label") == F.col("item_label")).alias("same_clique")).agg(r6(F.avg("distance")).alias("density"), F.count("*").alias("pairs"))
 
 
 @query(

@@ -6,7 +6,7 @@ import json
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echolattice.functions.sequences import NATIVE_RATE
@@ -99,9 +99,10 @@ def learned_method(items: DataFrame, params: dict) -> DataFrame:
 
 
 def query_pairs(pairs: DataFrame) -> DataFrame:
-    """Pairs of queries that have another item of their label among the items."""
-    relevant = pairs.where("query_idx <> item_idx and query_label = item_label").select("query_idx").distinct()
-    return pairs.join(relevant, "query_idx", "left_semi")
+    """Pairs of queries that have another item of their label among the items; pairs are made once, and dealt by query as ranking needs them."""
+    own = (F.col("query_idx") != F.col("item_idx")) & (F.col("query_label") == F.col("item_label"))
+    marked = pairs.withColumn("any_relevant", F.max(F.coalesce(own, F.lit(False)).cast("int")).over(Window.partitionBy("query_idx")))
+    return marked.where("any_relevant = 1").drop("any_relevant")
 
 
 def saved_pairs(spark: SparkSession, path: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
