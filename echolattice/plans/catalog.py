@@ -430,27 +430,41 @@ def invariance(spark, sf_dir):
     return b.select(F.col("item_idx").alias("perf_id"), r6(F.greatest(F.lit(0.0), 1 - seq.dot(F.col("one"), F.col("vec")))).alias("drift"))
 
 
-@query("pair_export_json")
-def pair_export_json(spark, sf_dir):
-    """The first clique's first two performances and the first of another clique, as one JSON text: rounded frames, similarities, matches."""
-    rows = fixtures.performances(spark, sf_dir).withColumn("coarse", seq.normalize_frames(seq.downsample(F.col("frames"), WEEKS), "max"))
-    named = col.numbered(col.with_query_mask(rows.select(F.col("item_idx").alias("perf_id"), F.col("label").alias("clique_id"), "coarse")))
+def _export_pairs(spark, sf_dir) -> DataFrame:
+    """(kind, a, b, x, y, s): the first clique's first two performances and the first of another clique (singletons first), frames, and cosines of all pairs of frames."""
     from pyspark.sql import Window
 
+    rows = fixtures.performances(spark, sf_dir).withColumn("coarse", seq.normalize_frames(seq.downsample(F.col("frames"), WEEKS), "max"))
+    named = col.with_query_mask(rows.select(F.col("item_idx").alias("perf_id"), F.col("label").alias("clique_id"), "coarse"))
     first = named.withColumn("place", F.row_number().over(Window.partitionBy("clique_id").orderBy("perf_id")))
     a = first.where("place = 1").orderBy(F.desc("is_query"), "clique_id").limit(1)
     other = first.join(F.broadcast(a.select(F.col("clique_id").alias("own"), F.col("perf_id").alias("me"))), F.col("perf_id") != F.col("me"))
     mate = other.where("clique_id = own").orderBy("place").limit(1).withColumn("kind", F.lit("mate"))
-    # singletons first, where there are any
     stranger = other.where("clique_id <> own").orderBy("is_query", "clique_id", "place").limit(1).withColumn("kind", F.lit("stranger"))
     both = mate.unionByName(stranger).select("kind", F.col("perf_id").alias("b"), F.col("coarse").alias("y"))
     pair = both.crossJoin(F.broadcast(a.select(F.col("perf_id").alias("a"), F.col("coarse").alias("x"))))
     unit = lambda f: F.transform(f, seq.l2_normalize)
-    similarity_rows = F.transform(unit(F.col("x")), lambda u: F.transform(unit(F.col("y")), lambda v: F.round(seq.dot(u, v), 2)))
+    return pair.withColumn("s", F.transform(unit(F.col("x")), lambda u: F.transform(unit(F.col("y")), lambda v: F.round(seq.dot(u, v), 2))))
+
+
+def _cells(s: str):
+    return F.flatten(F.transform(s, lambda r, i: F.transform(r, lambda x, j: F.struct(i.alias("i"), j.alias("j"), x.alias("x")))))
+
+
+@query("pair_export_json")
+def pair_export_json(spark, sf_dir):
+    """The pairs to show, each as one JSON text: rounded frames, similarities, matches."""
     shown = lambda f: F.transform(f, lambda v: F.transform(v, lambda x: F.round(x, 3)))
-    cells = F.flatten(F.transform("s", lambda r, i: F.transform(r, lambda x, j: F.struct(i.alias("i"), j.alias("j"), x.alias("x")))))
-    out = pair.withColumn("s", similarity_rows)
-    return out.select("kind", "a", "b", F.to_json(F.struct(shown(F.col("x")).alias("x"), shown(F.col("y")).alias("y"), F.flatten("s").alias("similarity"), F.transform(F.filter(cells, lambda c: c["x"] >= 0.95), lambda c: F.array(c["i"], c["j"])).alias("matches"))).alias("json"))
+    matches = F.transform(F.filter(_cells("s"), lambda c: c["x"] >= 0.95), lambda c: F.array(c["i"], c["j"]))
+    text = F.to_json(F.struct(shown(F.col("x")).alias("x"), shown(F.col("y")).alias("y"), F.flatten("s").alias("similarity"), matches.alias("matches")))
+    return _export_pairs(spark, sf_dir).select("kind", "a", "b", text.alias("json"))
+
+
+@query("pair_export_matches", S.chain(S.DENSE, S.states(WEEKS, STATE)) + S.EXPORT)
+def pair_export_matches(spark, sf_dir):
+    """The matches of those pairs as rows."""
+    hit = _export_pairs(spark, sf_dir).select("kind", "a", "b", F.explode(_cells("s")).alias("c")).where("c.x >= 0.95")
+    return hit.select("kind", "a", "b", "c.i", "c.j", F.col("c.x").alias("similarity"))
 
 
 def _plots(spark, sf_dir, pairs: DataFrame) -> DataFrame:

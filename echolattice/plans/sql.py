@@ -252,6 +252,19 @@ STRANGER = """
   FROM pairs WHERE query_label <> item_label AND isfinite(distance))
 SELECT query_idx, item_idx, distance FROM strangers WHERE k = n // 2 + 1"""
 
+#: The first clique's first two performances and the first of another clique, singletons first; frames that are nearly alike.
+EXPORT = """
+, first AS (
+  SELECT s_suppkey AS p, s_nationkey AS c, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS place, count(*) OVER (PARTITION BY s_nationkey) > 1 AS several
+  FROM supplier WHERE s_suppkey IN (SELECT perf_id FROM cells)),
+me AS (SELECT p, c FROM first WHERE place = 1 ORDER BY several DESC, c LIMIT 1),
+shown AS (
+  (SELECT 'mate' AS kind, me.p AS a, f.p AS b FROM first f, me WHERE f.c = me.c AND f.p <> me.p ORDER BY place LIMIT 1)
+  UNION ALL (SELECT 'stranger', me.p, f.p FROM first f, me WHERE f.c <> me.c ORDER BY several, f.c, place LIMIT 1)),
+units AS (SELECT perf_id, frame, list_transform(v, lambda x: CASE WHEN n > 1e-9 THEN x / n ELSE x END) AS u FROM (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM coarse_frames)),
+alike AS (SELECT kind, a, b, x.frame::INTEGER AS i, y.frame::INTEGER AS j, round(list_dot_product(x.u, y.u), 2) AS similarity FROM shown JOIN units x ON x.perf_id = a JOIN units y ON y.perf_id = b)
+SELECT * FROM alike WHERE similarity >= 0.95"""
+
 #: Runs of two collections, one of them no better than chance.
 REPORT_ROWS = ", ".join(
     [
