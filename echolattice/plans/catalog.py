@@ -488,7 +488,7 @@ def _plot(x, n, y, m):
 def crp_density(spark, sf_dir):
     """Share of matching cells of every pair's plot, without transposition, and of all pairs by whether their cliques agree."""
     rows = _sequences(spark, sf_dir).select("item_idx", "label", qmax.packed(F.col("states"), F.col("profile")).alias("vec"))
-    each = similarity.sequence_pairs(rows, lambda a, b: float(qmax.recurrence(qmax.unpacked(a)[0], qmax.unpacked(b)[0]).mean()))
+    each = similarity.sequence_pairs(rows, lambda pairs: qmax.densities([(qmax.unpacked(a)[0], qmax.unpacked(b)[0]) for a, b in pairs]))
     return each.groupBy((F.col("query_label") == F.col("item_label")).alias("same_clique")).agg(r6(F.avg("distance")).alias("density"), F.count("*").alias("pairs"))
 
 

@@ -119,6 +119,37 @@ def test_recurrence():
     assert qmax.recurrence(x, x).diagonal().all()
 
 
+def test_pairs_of_all_shapes_at_once(monkeypatch):
+    rng = np.random.default_rng(11)
+    # Few different values, so that profiles tie and cells meet the bound; sides of 1 to 14 states, some of them equal.
+    sequences = [(rng.integers(0, 3, (int(n), 24)) / 2, rng.integers(0, 2, 12) / 2.0) for n in rng.choice([1, 2, 5, 9, 14], 16)]
+    sequences += [(sequences[3][0], np.ones(12)), (np.zeros((6, 24)), np.zeros(12)), (np.zeros((0, 24)), np.zeros(12))]
+    pairs = [(a, b) for a in sequences for b in sequences]
+
+    def one_way(a, b):
+        if not len(a[0]) or not len(b[0]):
+            return np.inf
+        steps = int(np.argmax(np.round([a[1] @ np.roll(b[1], k) for k in range(12)], 9)))
+        rolled = np.concatenate([np.roll(f, steps, axis=1) for f in np.split(b[0], 2, axis=1)], axis=1)
+        d = np.sqrt(((a[0][:, None] - rolled[None]) ** 2).sum(axis=2)).round(9)
+        cut = 1e-9 + np.minimum.outer(np.quantile(d, 0.2, axis=1), np.quantile(d, 0.2, axis=0))
+        plot = d <= cut
+        found = plain_score(plot, 0.5, 0.7) if min(plot.shape) > 2 else 0
+        return np.sqrt(len(b[0])) / found if found else np.inf
+
+    how = {"kappa": 0.2, "gap_open": 0.5, "gap_extend": 0.7}
+    for cells in (1, 3000, qmax.CELLS):
+        monkeypatch.setattr(qmax, "CELLS", cells)
+        ahead = qmax.distances(pairs, symmetric=False, **how)
+        both = qmax.distances(pairs, **how)
+        alone = np.array([qmax.distance(*a, *b, **how) for a, b in pairs])
+        assert np.array_equal(both, alone)
+        want = np.array([one_way(a, b) for a, b in pairs])
+        back = np.array([one_way(b, a) for a, b in pairs])
+        assert np.allclose(ahead, want) and np.allclose(both, np.minimum(want, back))
+        assert np.array_equal(np.isnan(qmax.densities([(a[0], b[0]) for a, b in pairs])), [not len(a[0]) or not len(b[0]) for a, b in pairs])
+
+
 def test_alignment_distance(spark):
     x = rand(60, 4)
     a = (x, np.ones(12) / np.sqrt(12))
