@@ -526,7 +526,7 @@ def synthetic_corpus(spark, sf_dir):
 
 @query("learned_embedding")
 def learned_embedding(spark, sf_dir):
-    """Scores of embeddings by the network at its initial parameters, which are the same everywhere."""
+    """Scores of embeddings by the network at its default size and initial parameters, which are the same everywhere."""
     items = fixtures.performances(spark, sf_dir)
-    vec = learned.embed(items, seq.normalize_frames(seq.downsample(F.col("frames"), 4), "max"), learned.initial(16, 4)).select("item_idx", "label", "vec")
+    vec = learned.embed(items, seq.normalize_frames(seq.downsample(F.col("frames"), 4), "max"), learned.initial()).select("item_idx", "label", "vec")
     return evaluation.summarize(evaluation.score_vectors(vec, similarity.cosine_pairs))
