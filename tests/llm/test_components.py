@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from echolattice.llm import common
@@ -57,3 +59,17 @@ def test_candidates(spark, scratch):
             by.setdefault(k, set()).add(i)
     want = components([(min(v), x) for v in by.values() for x in v if len(v) > 1 and x != min(v)])
     assert got == want
+
+
+def test_long_writes_give_their_shuffle_files_back(spark, scratch, monkeypatch):
+    """Without a collection of the driver's garbage, the files of every shuffle stay until the driver ends."""
+    monkeypatch.setattr(common, "RELEASE_S", -1)
+    blocks = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    before = blocks.shuffleStatuses().size()
+    for _ in range(3):
+        scratch.write(spark.range(1000).repartition(4, "id"))
+    for _ in range(100):
+        if blocks.shuffleStatuses().size() <= before:
+            break
+        time.sleep(0.1)
+    assert blocks.shuffleStatuses().size() <= before
