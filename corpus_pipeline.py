@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echolattice.llm import jaccard_join, line_dedup, mixing, packing, quality_classifier
-from echolattice.llm.common import Scratch, quoted, small, tokenizer_path
+from echolattice.llm.common import Scratch, quoted, tokenizer_path, without
 
 #: The stages aren't expressible in SQL; tests hold them against plain versions.
 ORACLE_SQL = None
@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     verdict = quality_classifier.classify(docs, labels, scratch)
     gone = scratch.write(verdict.where("not kept").select(F.col("doc_id").alias("doc"), F.col("text_key").alias("key")).distinct())
     held = docs.select(F.struct(*quoted(docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    left = held.join(small(gone), F.col("id").eqNullSafe(F.col("doc")) & (F.col("text_hash") == F.col("key")), "left_anti")
+    left = without(held, "text_hash", gone, "key", F.col("id").eqNullSafe(F.col("doc")) & (F.col("text_hash") == F.col("key")))
     return left.select("row.*")
 
 
@@ -46,7 +46,7 @@ def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "stage-jaccard")
     found = jaccard_join.jaccard_components(docs, scratch)
     gone = scratch.write(found.where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(small(gone), "doc_id", "left_anti").select(*quoted(docs.columns))
+    return without(docs, "doc_id", gone, "doc_id", "doc_id").select(*quoted(docs.columns))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
