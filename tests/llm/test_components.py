@@ -62,14 +62,14 @@ def test_candidates(spark, scratch):
 
 
 def test_long_writes_give_their_shuffle_files_back(spark, scratch, monkeypatch):
-    """Without a collection of the driver's garbage, the files of every shuffle stay until the driver ends."""
+    """Without a collection of the driver's garbage, the files of every shuffle stay until the driver ends; the last one's may."""
     monkeypatch.setattr(common, "RELEASE_S", -1)
     blocks = spark.sparkContext._jsc.sc().env().mapOutputTracker()
     before = blocks.shuffleStatuses().size()
-    for _ in range(3):
+    for _ in range(6):
         scratch.write(spark.range(1000).repartition(4, "id"))
     for _ in range(100):
-        if blocks.shuffleStatuses().size() <= before:
+        if blocks.shuffleStatuses().size() <= before + 1:
             break
         time.sleep(0.1)
-    assert blocks.shuffleStatuses().size() <= before
+    assert blocks.shuffleStatuses().size() <= before + 1
